@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,3 +57,11 @@ def id_remainder(id_col: str, modulus: int) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body mentions it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def with_fields(schema: StructType, **kinds: str) -> StructType:
+    """A new schema with further fields."""
+    out = StructType(list(schema.fields))
+    for name, kind in kinds.items():
+        out = out.add(name, kind)
+    return out
