@@ -106,7 +106,7 @@ class _Chunk:
             place[order] = np.arange(len(hashes))
             ids = pa.concat_arrays(self.ids)
             # frequent words get small numbers, which pack tighter
-            yield _PAYLOAD, pack(smallest(rank_of[stream]), smallest(place[by_use]), smallest(np.concatenate(self.counts)), np.bitwise_xor.reduce(hashes, keepdims=True) if len(hashes) else hashes), ids
+            yield _PAYLOAD, pack(smallest(rank_of[stream]), smallest(place[by_use]), smallest(np.concatenate(self.counts))), ids
             return
         lengths = np.concatenate([*self.lengths, np.empty(0, np.int64)])
         starts, data = np.cumsum(lengths) - lengths, np.concatenate([*self.bytes, np.empty(0, np.uint8)])
@@ -173,11 +173,12 @@ def _equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.nda
     return np.minimum.reduceat(ok, np.cumsum(lengths) - lengths) if len(lengths) else np.empty(0, bool)
 
 
-def _assembled(rows: pa.Table) -> pa.Table:
+def _assembled(words: pa.Table, chunk: pa.Table) -> pa.Table:
     """The documents of one chunk, each put together by position."""
-    parts = rows["part"].to_pylist()
-    blobs = dict(zip(parts, map(unpack, rows["blob"].to_pylist()), strict=True))
-    stream, place, counts, check = blobs.pop(_PAYLOAD)
+    if len(chunk) != 1:
+        raise RuntimeError("a chunk was cut otherwise when it was read again: its input isn't deterministic")
+    stream, place, counts = unpack(chunk["blob"][0].as_py())
+    blobs = dict(zip(words["part"].to_pylist(), map(unpack, words["blob"].to_pylist()), strict=True))
     back = [blobs[p] for p in sorted(blobs)]
     n = np.concatenate([*(b[0].astype(np.int64) for b in back), np.empty(0, np.int64)])
     if len(n) != len(place):
@@ -187,8 +188,7 @@ def _assembled(rows: pa.Table) -> pa.Table:
     word = place.astype(np.int64)[stream]
     ids = gathered(starts[word], n[word], flat)
     ends = np.concatenate([[0], np.cumsum(n[word])])[np.concatenate([[0], np.cumsum(counts.astype(np.int64))])]
-    documents = rows["ids"].combine_chunks()
-    values = documents.filter(documents.is_valid()).flatten()
+    values = chunk["ids"].combine_chunks().flatten()
     return pa.table({"doc_id": values, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))})
 
 
@@ -221,7 +221,8 @@ def encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
 
     back = cut(False).groupBy("part").applyInArrow(_encoded_words(tokens), schema)
     out = StructType([StructField("doc_id", id_type), StructField("ids", ArrayType(IntegerType()))])
-    return back.unionByName(cut(True)).groupBy("chunk").applyInArrow(_assembled, out)
+    # a cogroup, so that both scans are stages of their own and number their partitions alike
+    return back.groupBy("chunk").cogroup(cut(True).groupBy("chunk")).applyInArrow(_assembled, out)
 
 
 def _decoded(content: bytes, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
