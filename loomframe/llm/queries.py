@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op5_bpe_round_trip
 from .ctw import op2_ctw_scoring
+from .decontamination import op4_spaced_seed_leaks
 from .language_id import op6_language_id
 from .quality_model import op8_quality_classifier
 from .quality_rules import op1_quality_rules
@@ -17,6 +18,7 @@ from .token_files import op9_token_files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ctw_scoring": op2_ctw_scoring,
+    "op4_spaced_seed_leaks": op4_spaced_seed_leaks,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_language_id": op6_language_id,
     "op7_jump_sharding": op7_jump_sharding,
