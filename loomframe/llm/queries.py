@@ -10,6 +10,7 @@ from .bpe import op5_bpe_round_trip
 from .ctw import op2_ctw_scoring
 from .decontamination import op4_spaced_seed_leaks
 from .language_id import op6_language_id
+from .near_dedup import op10_order_minhash
 from .quality_model import op8_quality_classifier
 from .quality_rules import op1_quality_rules
 from .sharding import op7_jump_sharding
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jump_sharding": op7_jump_sharding,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_token_files": op9_token_files,
+    "op10_order_minhash": op10_order_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
