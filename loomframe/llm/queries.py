@@ -13,12 +13,14 @@ from .language_id import op6_language_id
 from .near_dedup import op10_order_minhash
 from .quality_model import op8_quality_classifier
 from .quality_rules import op1_quality_rules
+from .repeats import op3_repeated_strings
 from .sharding import op7_jump_sharding
 from .token_files import op9_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ctw_scoring": op2_ctw_scoring,
+    "op3_repeated_strings": op3_repeated_strings,
     "op4_spaced_seed_leaks": op4_spaced_seed_leaks,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_language_id": op6_language_id,
