@@ -17,7 +17,7 @@ from ..plans.core import column_names, is_date_like, is_fractional, is_numeric,
 
 #: Other names of types in expected schemas.
 TYPE_ALIASES = {"integer": "int", "long": "bigint", "bool": "boolean", "str": "string", "short": "smallint", "byte": "tinyint"}
-QUANTILE_ACCURACY = 1_000_000
+QUANTILE_ACCURACY = 200_000
 
 
 def clean_column_names(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..plans.core import column_names, is_numeric, named, numeric_columns, require_choice, require_columns, require_frame, without_nan
 
-ACCURACY = 1_000_000
+ACCURACY = 200_000
 #: The features of a date and of a moment, and those made by default.
 DATE_FEATURES = {
     **{k: dates.DATE_PARTS[k] for k in ("year", "month", "day", "day_of_week", "quarter")},

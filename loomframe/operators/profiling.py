@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..plans.core import is_numeric, is_orderable, named, numeric_columns, require_columns, require_frame, unpivoted, without_nan
 
 SAMPLES = 5
-ACCURACY = 1_000_000
+ACCURACY = 200_000
 
 
 def _session(df: DataFrame) -> SparkSession:

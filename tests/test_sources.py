@@ -127,3 +127,9 @@ def test_library_needs_no_training_data_operators():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"import.*\bllm\b|from.*\bllm\b", p.read_text()), p
+
+
+def test_api_has_every_operator():
+    from loomframe import api
+
+    assert len(api.__all__) == 92 and all(getattr(api, n).__doc__ for n in api.__all__)
