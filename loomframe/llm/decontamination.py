@@ -56,15 +56,27 @@ def _all_seeds(hashes: Column, n: Column, masks: Sequence[str]) -> Column:
     return F.concat(*each) if len(each) > 1 else each[0]
 
 
+def _placed(at: Column, n: Column, masks: Sequence[str]) -> Column:
+    """(mask, position) of a place in the concatenated seeds of a text of ``n`` tokens."""
+    out, before = None, F.lit(0)
+    for i, m in enumerate(masks):
+        here = at < before + _positions(n, m)
+        place = F.struct(F.lit(i).alias("mask"), (at - before).alias("j"))
+        out = F.when(here, place) if out is None else out.when(here, place)
+        before = before + _positions(n, m)
+    return out
+
+
 def _item_seeds(items: DataFrame, masks: Sequence[str], step: int) -> DataFrame:
-    """(seed, item_id, at) of every ``step``-th position and the last; items shorter than SPAN have one seed, of all their tokens."""
-    parts = []
-    for m in masks:
-        last = F.col("n") - len(m)
-        fits = (F.col("n") >= SPAN) if len(m) == SPAN and "0" in m else (F.col("n") == len(m))
-        at = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(step)), F.array(last)))
-        parts.append(items.where(fits).select("_item", F.explode(at).alias("_j"), "hashes").select(_seed(F.col("hashes"), F.col("_j"), m).alias("_seed"), "_item", "_j"))
-    return reduce(DataFrame.unionByName, parts)
+    """(seed, item, position) of every ``step``-th position and the last; items shorter than SPAN have one seed, of all their tokens."""
+    n = F.col("n")
+    seeds = items.select("_item", "n", F.posexplode(_all_seeds(F.col("hashes"), n, masks)).alias("_at", "_seed"))
+    seeds = seeds.withColumn("_p", _placed(F.col("_at"), n, masks))
+    spans = F.element_at(F.array(*(F.lit(len(m)) for m in masks)), F.col("_p.mask") + 1)
+    whole = F.element_at(F.array(*(F.lit("0" not in m) for m in masks)), F.col("_p.mask") + 1)
+    j = F.col("_p.j")
+    wanted = F.when(whole, n == spans).otherwise((j % step == 0) | (j == n - spans))
+    return seeds.where(wanted).select("_seed", "_item", j.alias("_j"))
 
 
 def _best_run(hashes: Column, item: Column, offset: Column, run: int) -> Column:
@@ -119,17 +131,13 @@ def leaks(
         seeds = F.broadcast(_item_seeds(mine, masks, step))  # at most a block of items
         hits = texts.select("*", F.posexplode(_all_seeds(F.col("_hashes"), F.col("_n"), masks)).alias("_at", "_seed")).join(seeds, "_seed")
         hits = hits.join(F.broadcast(mine.select("_item", "_item_id", "hashes", "n")), "_item")
-        # where the seed's own mask begins in the concatenated positions
-        at, before = None, F.lit(0)
-        for m in masks:
-            here = F.col("_at") < before + _positions(F.col("_n"), m)
-            at = F.when(here, F.col("_at") - before) if at is None else at.when(here, F.col("_at") - before)
-            before = before + _positions(F.col("_n"), m)
-        best = _best_run(F.col("_hashes"), F.col("hashes"), at - F.col("_j"), run)
-        enough = F.ceil(F.least(F.col("n"), F.lit(run)) * F.lit(agree))
-        found.append(hits.select("_doc_id", "_item_id", "n", best.alias("best"), enough.alias("enough")).where("best >= enough"))
+        place = _placed(F.col("_at"), F.col("_n"), masks)
+        best = _best_run(F.col("_hashes"), F.col("hashes"), place["j"] - F.col("_j"), run)
+        found.append(hits.select("_doc_id", "_item_id", "n", best.alias("best")))
     every = reduce(DataFrame.unionByName, found)
-    return every.groupBy(F.col("_doc_id").alias("doc_id"), F.col("_item_id").alias("item_id")).agg(F.max("n").cast("long").alias("n_item_tokens"), F.max("best").cast("long").alias("n_agreeing"))
+    # judged by pair, so that an alignment is laid out once for each hit and not again to filter by it
+    pairs = every.groupBy(F.col("_doc_id").alias("doc_id"), F.col("_item_id").alias("item_id")).agg(F.max("n").cast("long").alias("n_item_tokens"), F.max("best").cast("long").alias("n_agreeing"))
+    return pairs.where(F.col("n_agreeing") >= F.ceil(F.least(F.col("n_item_tokens"), F.lit(run)) * F.lit(agree)))
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
