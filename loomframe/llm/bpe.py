@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 from collections.abc import Callable, Iterator
 from functools import cache
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import table
+from .common import cogrouped, grouped, narrow, table
 from .packing import pack, smallest, unpack
 from .textkernels import HashIndex, U, gathered, prefix_hash, pretoken_starts, slices, span_hash
 
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 8 << 20
 _PAYLOAD = -1
 
 
@@ -173,28 +172,51 @@ def _equal_spans(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.nda
     return np.minimum.reduceat(ok, np.cumsum(lengths) - lengths) if len(lengths) else np.empty(0, bool)
 
 
-def _assembled(words: pa.Table, chunk: pa.Table) -> pa.Table:
-    """The documents of one chunk, each put together by position."""
-    if len(chunk) != 1:
-        raise RuntimeError("a chunk was cut otherwise when it was read again: its input isn't deterministic")
-    stream, place, counts = unpack(chunk["blob"][0].as_py())
-    blobs = dict(zip(words["part"].to_pylist(), map(unpack, words["blob"].to_pylist()), strict=True))
-    back = [blobs[p] for p in sorted(blobs)]
-    n = np.concatenate([*(b[0].astype(np.int64) for b in back), np.empty(0, np.int64)])
-    if len(n) != len(place):
-        raise RuntimeError("a chunk was cut otherwise when it was read again: its input isn't deterministic")
-    flat = np.concatenate([*(b[1].astype(np.int32) for b in back), np.empty(0, np.int32)])
-    starts = np.cumsum(n) - n
-    word = place.astype(np.int64)[stream]
-    ids = gathered(starts[word], n[word], flat)
-    ends = np.concatenate([[0], np.cumsum(n[word])])[np.concatenate([[0], np.cumsum(counts.astype(np.int64))])]
-    values = chunk["ids"].combine_chunks().flatten()
-    return pa.table({"doc_id": values, "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))})
-
-
-def encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None, buckets: int | None = None) -> DataFrame:
+def _assembled(content: bytes | None, packed_ids: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The documents of one chunk, each put together by position; decoded again if the ranks are given."""
+
+    def run(words: pa.Table, chunk: pa.Table) -> pa.Table:
+        if len(chunk) != 1:
+            raise RuntimeError("a chunk was cut otherwise when it was read again: its input isn't deterministic")
+        stream, place, counts = unpack(chunk["blob"][0].as_py())
+        blobs = dict(zip(words["part"].to_pylist(), words["blob"].to_pylist(), strict=True))
+        back = [unpack(blobs.pop(p)) for p in sorted(blobs)]
+        n = np.concatenate([*(b[0].astype(np.int64) for b in back), np.empty(0, np.int64)])
+        if len(n) != len(place):
+            raise RuntimeError("a chunk was cut otherwise when it was read again: its input isn't deterministic")
+        flat = np.concatenate([*(b[1].astype(np.int32) for b in back), np.empty(0, np.int32)])
+        starts = np.cumsum(n) - n
+        word = place.astype(np.int64)[stream]
+        lengths = n[word]
+        ids = gathered(starts[word], lengths, flat)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts.astype(np.int64))])]
+        out = {"doc_id": chunk["ids"].combine_chunks().flatten()}
+        out["ids"] = _binary(ids.astype("<u4").view(np.uint8), 4 * ends) if packed_ids else pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+        if content is not None:
+            raw, bounds = _bytes_of(content, ids, ends)
+            out["decoded"] = _binary(raw, bounds)
+        return pa.table(out)
+
+    return run
+
+
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _bytes_of(content: bytes, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token-byte table joined to ids: all bytes, and the bounds of each list's bytes."""
+    start, length, data = _token_bytes(content)
+    sizes = length[ids]
+    return gathered(start[ids], sizes, data), np.concatenate([[0], np.cumsum(sizes)])[ends]
+
+
+def encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", pattern: str | None = None, buckets: int | None = None, packed_ids: bool = False, decoded: bool = False) -> DataFrame:
     """doc_id and ``ids`` (array of int) of every text, as tiktoken would encode it without special tokens.
 
+    ``packed_ids`` gives the ids as the bytes of little-endian unsigned 32-bit integers instead;
+    ``decoded`` adds the bytes that the ids decode to, made in the same pass as the ids.
+
     ``vocabulary`` is the path of a file of ranks; its content travels with the tasks. Null and
     empty texts have no ids. Null ids, repeated rows and ties stay, one output row each; an empty
     table gives an empty result. Only ``id_col`` and ``text_col`` are read, so extra columns can't
@@ -213,26 +235,16 @@ def encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     kind = to_arrow_type(id_type)
 
     def cut(payload: bool) -> DataFrame:
-        return rows.mapInArrow(lambda batches: _chunks(batches, buckets, payload, kind), schema)
+        return rows.mapInArrow(narrow(lambda batches: _chunks(batches, buckets, payload, kind)), schema)
 
     def tokens(words: list[bytes]) -> list[list[int]]:
         e = _encoding(content, pattern)
         return [e.encode_ordinary(w.decode("utf-8")) for w in words]
 
-    back = cut(False).groupBy("part").applyInArrow(_encoded_words(tokens), schema)
-    out = StructType([StructField("doc_id", id_type), StructField("ids", ArrayType(IntegerType()))])
+    back = cut(False).groupBy("part").applyInArrow(grouped(_encoded_words(tokens)), schema)
+    out = StructType([StructField("doc_id", id_type), StructField("ids", BinaryType() if packed_ids else ArrayType(IntegerType())), *[StructField("decoded", BinaryType())] * decoded])
     # a cogroup, so that both scans are stages of their own and number their partitions alike
-    return back.groupBy("chunk").cogroup(cut(True).groupBy("chunk")).applyInArrow(_assembled, out)
-
-
-def _decoded(content: bytes, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, their bounds, bytes, their bounds) of a column of id lists; null counts as empty."""
-    start, length, data = _token_bytes(content)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    sizes = np.nan_to_num(np.array(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64))
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    out = gathered(start[flat], length[flat], data)
-    return flat, bounds, out, np.concatenate([[0], np.cumsum(length[flat])])[bounds]
+    return back.groupBy("chunk").cogroup(cut(True).groupBy("chunk")).applyInArrow(cogrouped(_assembled(content if decoded else None, packed_ids)), out)
 
 
 def decode(df: DataFrame, vocabulary: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -247,30 +259,14 @@ def decode(df: DataFrame, vocabulary: str | None = None, ids_col: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *_, raw, bounds = _decoded(content, batch.column(where))
-            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
-
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("decoded", BinaryType())]))
-
-
-def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids and of the bytes they decode to."""
-    with open(vocabulary or vocabulary_file(), "rb") as f:
-        content = f.read()
-    encoded = encoded.select("doc_id", "ids")
-    schema = StructType([encoded.schema["doc_id"]]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, bounds, raw, ends = _decoded(content, batch.column(1))
-            ids, raw = memoryview(flat.astype("<u4")).cast("B"), memoryview(raw)
-            of_ids = [sha256(ids[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            of_raw = [sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(of_ids, pa.string()), pa.array(of_raw, pa.string())], names=schema.names)
+            lists = batch.column(where)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw, bounds = _bytes_of(content, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _binary(raw, bounds)], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return df.mapInArrow(narrow(run), StructType([*df.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents")))
+    rows = encode(table(spark, sf_dir, "documents"), packed_ids=True, decoded=True)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

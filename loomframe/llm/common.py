@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -65,3 +69,67 @@ def with_fields(schema: StructType, **kinds: str) -> StructType:
     for name, kind in kinds.items():
         out = out.add(name, kind)
     return out
+
+
+# --- functions of Arrow data on executors
+
+_last_release = 0.0
+
+
+def _release(at_most_every: float = 0.0) -> None:
+    """Gives freed memory back to the system: workers live on between tasks, and what they hold the next stage lacks."""
+    global _last_release
+    if time.monotonic() - _last_release < at_most_every:
+        return
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+    _last_release = time.monotonic()
+
+
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.malloc_trim  # noqa: B018  only glibc has it
+    except (OSError, AttributeError):
+        return None
+    return libc
+
+
+_LIBC = _libc()
+
+
+def narrow(work: Callable) -> Callable:
+    """``work`` for ``mapInArrow``, releasing memory as it goes and at the end of the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for out in work(batches):
+                yield out
+                _release(1.0)
+        finally:
+            _release()
+
+    return run
+
+
+def grouped(work: Callable) -> Callable:
+    """``work`` for ``groupBy().applyInArrow``, releasing memory after groups."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = work(rows)
+        _release(0.2)
+        return out
+
+    return run
+
+
+def cogrouped(work: Callable) -> Callable:
+    """``work`` for ``cogroup().applyInArrow``, releasing memory after groups."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = work(left, right)
+        _release(0.2)
+        return out
+
+    return run

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = 0xD1342543DE82EF95
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
