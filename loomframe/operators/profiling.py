@@ -1,7 +1,7 @@
 """Profiling and comparing tables.
 
-A report over any number of columns is one aggregate over one scan, unpivoted lazily: no job runs
-until the report itself is used. Distinct counts are exact unless ``approx`` is set; quantiles are
+A report over any number of columns is one aggregate over one scan (two for the full profile, whose
+distinct counts are apart), unpivoted lazily: no job runs until the report itself is used. Distinct counts are exact unless ``approx`` is set; quantiles are
 sketches of bounded size whose rank error is ``1 / accuracy``.
 """
 
@@ -55,7 +55,6 @@ def profile_table(df: DataFrame, sample_size: int | None = None, approx: bool =
         per[f.name] = {
             "data_type": F.first(F.lit(f.dataType.simpleString())),
             "non_null_count": F.count(c),
-            "distinct_count": _distinct(c, approx) if ordered else F.max(F.lit(None).cast("long")),
             "min": F.min(c).cast("string") if ordered else F.max(text),
             "max": F.max(c).cast("string") if ordered else F.max(text),
             "mean": F.mean(c.cast("double")) if number else F.max(none),
@@ -63,6 +62,10 @@ def profile_table(df: DataFrame, sample_size: int | None = None, approx: bool =
             "sample_values": sample_values(c, ordered) if ordered else F.max(text),
         }
     rows = unpivoted(df, per, {"n": F.count(F.lit(1))}).where("n > 0")
+    # distinct counts are an aggregate of their own: beside them, text extremes would be sorted once for each distinct value
+    distinct = {f.name: _distinct(named(f.name), approx) if is_orderable(f.dataType) else F.max(F.lit(None).cast("long")) for f in df.schema.fields}
+    counts = df.agg(F.array(*distinct.values()).alias("_counts"))
+    rows = rows.crossJoin(F.broadcast(counts)).withColumn("distinct_count", F.get("_counts", F.col("_at")))
     nulls = F.col("n") - F.col("non_null_count")
     return rows.select(
         "column_name", "data_type", "non_null_count", nulls.alias("null_count"), F.round(nulls / F.col("n") * 100, 4).alias("null_pct"),
