@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .common import id_remainder, stored, table
+from .common import cogrouped, grouped, id_remainder, narrow, stored, table
 from .packing import pack, smallest, unpack
 from .textkernels import LOWER, HashIndex, U, mixed, owner, prefix_hash, slices, span_hash, word_spans
 
@@ -296,20 +296,20 @@ def score(df: DataFrame, held_out: str = "held_out", id_col: str = "doc_id", tex
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(held_out).cast("boolean"), F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     asked = StructType([StructField("chunk", LongType()), StructField("part", IntegerType()), StructField("blob", BinaryType())])
     id_field = rows.schema["doc_id"]
-    sent = stored(rows.mapInArrow(_asked(depth, buckets), asked), "ctw-counts")
+    sent = stored(rows.mapInArrow(narrow(_asked(depth, buckets)), asked), "ctw-counts")
     roots, words, total = [], 0, 0.0
-    for r in sent.groupBy("part").applyInArrow(_summary(depth, buckets), StructType(asked.fields[1:])).collect():
+    for r in sent.groupBy("part").applyInArrow(grouped(_summary(depth, buckets)), StructType(asked.fields[1:])).collect():
         got = unpack(r.blob)
         if r.part < buckets:
             roots.append(got)
         else:
             words, total = words + int(got[0][0]), total + float(got[0][1])
     top = Top(*(np.concatenate([r[i] for r in roots] or [np.empty(0, U if not i else float)]) for i in range(4)))
-    back = sent.groupBy("part").applyInArrow(_answers(depth, buckets, top), asked)
+    back = sent.groupBy("part").applyInArrow(grouped(_answers(depth, buckets, top)), asked)
     packed = StructType([asked.fields[0], asked.fields[2], StructField("ids", ArrayType(id_field.dataType)), StructField("flags", ArrayType(BooleanType())), StructField("lengths", BinaryType())])
-    texts = rows.mapInArrow(_packed_texts, packed)
+    texts = rows.mapInArrow(narrow(_packed_texts), packed)
     out = StructType([id_field, StructField("held_out", BooleanType()), *(StructField(k, LongType()) for k in ("n_tokens", "n_known", "train_tokens")), *(StructField(k, DoubleType()) for k in ("base_score", "score", "bits_per_byte"))])
-    return back.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(_scored(depth, buckets, total, words), out)
+    return back.groupBy("chunk").cogroup(texts.groupBy("chunk")).applyInArrow(cogrouped(_scored(depth, buckets, total, words)), out)
 
 
 def op2_ctw_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, table, with_fields
+from .common import id_remainder, narrow, table, with_fields
 from .textkernels import U, gram_hash, mixed, owner, prefix_hash, slices, span_hash, word_spans
 
 BUCKETS = 1 << 18
@@ -138,7 +138,7 @@ def predict(df: DataFrame, model: SubwordModel, text_col: str = "text") -> DataF
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scored(shared.value, batch.column(where)))], names=[*batch.schema.names, "score"])
 
-    return df.mapInArrow(run, with_fields(df.schema, score="double")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return df.mapInArrow(narrow(run), with_fields(df.schema, score="double")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import stored, table
+from .common import cogrouped, grouped, narrow, stored, table
 from .packing import pack, smallest, unpack
 from .textkernels import U, gram_hash, mixed, prefix_hash, slices, sliding_min, span_hash
 
@@ -454,20 +454,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     id_type = rows.schema["doc_id"].dataType
     to_arrow_type(id_type)  # an id that Arrow can't carry fails here, not on an executor
     packed = StructType([StructField("chunk", LongType()), StructField("blob", BinaryType()), StructField("ids", ArrayType(id_type)), StructField("lengths", BinaryType())])
-    texts = rows.mapInArrow(_packed_texts, packed).groupBy("chunk")
-    answers = rows.mapInArrow(_listed(length, gram, buckets), _PACKED).groupBy("part").applyInArrow(_judged(buckets, group), _PACKED)
-    found = stored(answers.groupBy("chunk").cogroup(texts).applyInArrow(_compared(length, gram, buckets), _FOUND), "repeats")
+    texts = rows.mapInArrow(narrow(_packed_texts), packed).groupBy("chunk")
+    answers = rows.mapInArrow(narrow(_listed(length, gram, buckets)), _PACKED).groupBy("part").applyInArrow(grouped(_judged(buckets, group)), _PACKED)
+    found = stored(answers.groupBy("chunk").cogroup(texts).applyInArrow(cogrouped(_compared(length, gram, buckets)), _FOUND), "repeats")
 
     covered = StructType([StructField("chunk", LongType()), StructField("kind", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("blob", BinaryType())])
     ranges = found.where(F.col("kind") == _RANGE).select("gram", "chunk", "start", "lead", "needs", "blob")
-    ranges = ranges.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeats(length), covered)
-    counts = found.where(F.col("kind") == _WINDOW).select("chunk", "part", "blob").groupBy("part").applyInArrow(_counted, _PACKED)
+    ranges = ranges.repartition("gram").sortWithinPartitions("gram").mapInArrow(narrow(_repeats(length)), covered)
+    counts = found.where(F.col("kind") == _WINDOW).select("chunk", "part", "blob").groupBy("part").applyInArrow(grouped(_counted), _PACKED)
     known = found.where(F.col("kind").isin(_WHOLE, _PLACES))
     nothing = F.lit(None).cast("int")
     every = ranges.unionByName(counts.select("chunk", F.lit(_WINDOW).alias("kind"), nothing.alias("start"), nothing.alias("end"), "blob"))
     every = every.unionByName(known.select("chunk", "kind", nothing.alias("start"), nothing.alias("end"), "blob"))
     out = StructType([StructField("doc_id", id_type), *(StructField(k, LongType()) for k in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if whole_characters else BinaryType())])
-    return every.groupBy("chunk").cogroup(texts).applyInArrow(_cut(length, whole_characters), out)
+    return every.groupBy("chunk").cogroup(texts).applyInArrow(cogrouped(_cut(length, whole_characters)), out)
 
 
 def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
