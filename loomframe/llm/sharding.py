@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import let, table, text_or_empty
 
 MULTIPLIER = 2862933555777941757
+BLOCK = 10_000
 _LOW = 0xFFFFFFFF
 
 
@@ -68,29 +69,30 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards
     Repeated rows go to the same shard and get different slots. An empty table gives an empty
     result. Only ``id_col`` and ``text_col`` are read, so extra columns can't clash.
 
-    ``buckets`` are the parts a shard is numbered in (default: the session's shuffle partitions,
-    64 at least); it changes slots, never shards. Rows that share one id share a bucket, so equal
-    ids are dealt over the buckets by their text as well.
+    Rows that are equal in id, size and checksum are interchangeable: they are counted before the
+    shuffle, take a run of slots together and are written out again in runs of BLOCK, so that a row
+    that fills a third of the table is no more than a count until the end. ``buckets`` are the parts
+    that a shard is numbered in (default: the session's shuffle partitions, 64 at least); they
+    change slots, never shards.
     """
     buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     text = text_or_empty("text")
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.select(
-        "doc_id",
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        shard_key(F.col("doc_id")).alias("_key"),
-    )
+    rows = rows.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_key", shard_key(F.col("doc_id")))
     rows = rows.withColumns({"shard": jump_hash(F.col("_key"), shards), "grown_shard": jump_hash(F.col("_key"), shards + 1)})
     rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_key", "text_crc32", "size"), F.lit(buckets)).cast("int"))
-    # equal rows in great number would still share a bucket: only their first slots come from the order, the rest from counts
-    each = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    each = rows.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     each = each.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy("_key", "text_crc32", "size")
-    rows = rows.withColumn("_at", F.row_number().over(inside) - 1)
-    rows = rows.join(each, ["shard", "_bucket"])
-    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_at")).cast("long").alias("slot"), "grown_shard")
+    inside = Window.partitionBy("shard", "_bucket").orderBy("_key", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_at", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(each, ["shard", "_bucket"])
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(BLOCK).cast("long")))).repartition("_key", "_block")
+    last = F.least(F.col("_block") + BLOCK, F.col("_n")) - 1
+    rows = rows.withColumn("_in", F.explode(F.sequence(F.col("_block"), last)))
+    slot = (F.col("_first") + F.col("_at") + F.col("_in")).cast("long")
+    return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")
 
 
 def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
