@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_remainder, table, with_fields
+from .common import id_remainder, narrow, table, with_fields
 from .textkernels import slices
 
 WIDTHS = (2, 3, 4)
@@ -141,10 +141,17 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     Only windows cut from the chosen texts, evenly spaced over the whole text, reach the driver.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    order = F.xxhash64(F.col("id").cast("string"), "text")
+    # a language's rows are first thinned by the hash to some times the sample, so that no task gets more
+    counts = rows.where("lang is not null").groupBy("lang").count().collect()
+    shares = {r["lang"]: 4 * sample_per_lang / r["count"] for r in counts if r["count"] > 8 * sample_per_lang}
+    if shares:
+        share = F.coalesce(F.create_map(*(F.lit(x) for kv in shares.items() for x in kv))[F.col("lang")], F.lit(1.0))
+        rows = rows.where(order / float(1 << 63) <= 2 * share - 1)
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     spread = F.greatest(F.length("text") - WINDOW_BYTES, F.lit(0))
     cut = F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), lambda i: F.col("text").substr((spread * i / max(1, SAMPLE_WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW_BYTES)))
-    rows = rows.select("lang", F.xxhash64(F.col("id").cast("string"), "text").alias("order"), F.array_distinct(cut).alias("windows"))
+    rows = rows.select("lang", order.alias("order"), F.array_distinct(cut).alias("windows"))
     rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("at") <= sample_per_lang)
     taken = sorted((r.lang, r.order, w) for r in rows.collect() for w in r.windows)
     return train([w.encode() for *_, w in taken], [lang for lang, *_ in taken])
@@ -169,7 +176,7 @@ def predict(df: DataFrame, net: ByteConvNet, text_col: str = "text") -> DataFram
             out = [*batch.columns, names.take(pa.array(which)), pa.array(prob)]
             yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, "lang_pred", "score"])
 
-    found = df.mapInArrow(run, schema)
+    found = df.mapInArrow(narrow(run), schema)
     known = F.coalesce(F.col(text_col).cast("string").rlike("\\p{L}"), F.lit(False))
     return found.withColumns({"lang_pred": F.when(known, F.col("lang_pred")).otherwise(UNDETERMINED), "score": F.when(known, F.col("score")).otherwise(0.0)})
 
