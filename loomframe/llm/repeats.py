@@ -42,7 +42,7 @@ from .textkernels import U, gram_hash, mixed, prefix_hash, slices, sliding_min,
 LENGTH = 400
 GRAM = 96
 GROUP = 20_000
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _RANGE, _WHOLE, _WINDOW, _PLACES = 0, 1, 2, 3
 
 
@@ -416,19 +416,18 @@ def _cut(length: int, whole_characters: bool):
         start, end = united(start + of, end + of)
         of = np.searchsorted(text.offsets + np.arange(n + 1), start, "right") - 1
         start, end = start - of, end - of
-        change = np.zeros(len(text.data) + 1, np.int64)
-        np.add.at(change, start, 1)
-        np.add.at(change, end, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.zeros(len(text.data), bool)
+        for lo, hi in zip(start.tolist(), end.tolist(), strict=True):
+            gone[lo:hi] = True
         lengths = np.diff(text.offsets)
         removed = np.bincount(of, end - start, minlength=n).astype(np.int64)
         columns = {"doc_id": text.ids, "n_bytes": pa.array(lengths), "n_removed": pa.array(removed), "n_spans": pa.array(np.bincount(of, minlength=n))}
         if whole_characters and len(text.data):
-            first = np.flatnonzero((text.data & 0xC0) != 0x80)
+            first = np.flatnonzero((text.data & 0xC0) != 0x80).astype(np.int32)
             partly = np.logical_or.reduceat(gone, first)
             gone = np.repeat(partly, np.diff(np.append(first, len(gone))))
         kept = ~gone
-        bounds = np.concatenate([[0], np.cumsum(kept)])[text.offsets]
+        bounds = np.concatenate([[0], np.cumsum(kept, dtype=np.int32)])[text.offsets]
         kind_ = pa.large_string() if whole_characters else pa.large_binary()
         left = pa.Array.from_buffers(kind_, n, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(text.data[kept])])
         return pa.table(columns | {"kept": left.cast(pa.string() if whole_characters else pa.binary())})
