@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-A seed looks at SPAN consecutive tokens and ignores those under the zeros of a fixed mask, so a
-replaced token breaks only the seeds that look at it. Seeds of the benchmark items are a table
+A seed looks at consecutive tokens and ignores those under the zeros of a fixed mask, so a
+replaced token breaks only the seeds that look at it. Masks are chosen so that wherever the tokens
+that may differ lie, one of them looks past all: every pair that the rule below calls a leak has a
+seed. Seeds at every position of the benchmark items are a table
 (hash, item, position); every position of every document is looked up in it, and around each hit
 the item is laid over the document and compared token by token.
 
@@ -24,14 +26,25 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SPAN = 9
-MASKS = ("110101011", "101110101")
-STEP = 2
 RUN = 13
 AGREE = 0.8
+STEP = 1
+#: By (tokens, how many of them may differ): masks of which one, somewhere within, looks at none that differs.
+LOSSLESS = {
+    (13, 2): ("11101011", "11001111"),
+}
 ITEMS_PER_BLOCK = 20_000
 
 
+def lossless_masks(n: int, agree: float = AGREE) -> tuple[str, ...]:
+    """Masks that find ``n`` tokens with as many differing ones as ``agree`` allows, wherever those lie.
+
+    Without an entry in LOSSLESS: the longest run that agrees in any case.
+    """
+    differ = n - max(1, math.ceil(n * agree))
+    return LOSSLESS.get((n, differ)) or ("1" * math.ceil((n - differ) / (differ + 1)),)
+
+
 def token_hashes(text: Column) -> Column:
     """One long for each run of letters and digits, lower-cased; null has none."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
@@ -67,15 +80,18 @@ def _placed(at: Column, n: Column, masks: Sequence[str]) -> Column:
     return out
 
 
-def _item_seeds(items: DataFrame, masks: Sequence[str], step: int) -> DataFrame:
-    """(seed, item, position) of every ``step``-th position and the last; items shorter than SPAN have one seed, of all their tokens."""
+def _item_seeds(items: DataFrame, families: dict[int, Sequence[str]], masks: Sequence[str], run: int, step: int) -> DataFrame:
+    """(seed, item, position) for the masks of an item's own length, from ``run`` tokens on at every ``step``-th position and the last."""
     n = F.col("n")
     seeds = items.select("_item", "n", F.posexplode(_all_seeds(F.col("hashes"), n, masks)).alias("_at", "_seed"))
     seeds = seeds.withColumn("_p", _placed(F.col("_at"), n, masks))
-    spans = F.element_at(F.array(*(F.lit(len(m)) for m in masks)), F.col("_p.mask") + 1)
-    whole = F.element_at(F.array(*(F.lit("0" not in m) for m in masks)), F.col("_p.mask") + 1)
     j = F.col("_p.j")
-    wanted = F.when(whole, n == spans).otherwise((j % step == 0) | (j == n - spans))
+    wanted = F.lit(False)
+    for i, m in enumerate(masks):
+        here = n.isin([k for k, family in families.items() if k < run and m in family])
+        if m in families[run]:
+            here = here | ((n >= run) & ((j % step == 0) | (j == n - len(m))))
+        wanted = wanted | ((F.col("_p.mask") == i) & here)
     return seeds.where(wanted).select("_seed", "_item", j.alias("_j"))
 
 
@@ -102,7 +118,7 @@ def leaks(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    masks: Sequence[str] = MASKS,
+    masks: Sequence[str] | None = None,
     step: int = STEP,
     run: int = RUN,
     agree: float = AGREE,
@@ -113,22 +129,26 @@ def leaks(
     Null or empty documents contain nothing; null or token-less items are contained nowhere.
     Repeated documents or items count once for each pair of ids; null ids are ids like any other.
     An empty table on either side gives an empty result. Only ids and texts are read, so extra
-    columns can't clash.
+    columns can't clash. Every leak is found, but for items of ``run`` tokens or more under
+    ``masks`` or a ``step`` of one's own.
     """
-    if any(len(m) != SPAN or set(m) - {"0", "1"} for m in masks):
-        raise ValueError(f"masks must be {SPAN} zeros and ones")
+    if masks is not None and (not masks or any(len(m) > run or set(m) - {"0", "1"} or "1" not in m for m in masks)):
+        raise ValueError(f"masks must be at most {run} zeros and ones")
     items = benchmark.select(F.col(item_col).alias("_item_id"), token_hashes(F.col(item_text_col)).alias("hashes")).distinct()
     items = items.withColumns({"n": F.size("hashes"), "_item": F.xxhash64(F.col("_item_id").cast("string"), "hashes")}).where("n > 0")
-    facts = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("n") < SPAN, F.col("n"))).alias("short")).first()
+    facts = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("n") < run, F.col("n"))).alias("short"), F.max("n").alias("longest")).first()
     blocks = max(1, math.ceil(facts.n / items_per_block))
-    masks = [*masks, *("1" * n for n in sorted(facts.short))]
+    main = tuple(masks or lossless_masks(run, agree))
+    families = {n: ("1" * n,) if any(len(m) > n for m in main) else main for n in sorted(facts.short)}
+    families[run] = main if (facts.longest or run) >= run else ()
+    masks = [*dict.fromkeys(m for n in sorted(families, reverse=True) for m in families[n])]
 
     texts = documents.select(F.col(id_col).alias("_doc_id"), token_hashes(F.col(text_col)).alias("_hashes"))
     texts = texts.withColumn("_n", F.size("_hashes"))
     found = []
     for block in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.col("_item"), F.lit(blocks)) == block)
-        seeds = F.broadcast(_item_seeds(mine, masks, step))  # at most a block of items
+        seeds = F.broadcast(_item_seeds(mine, families, masks, run, step))  # at most a block of items
         hits = texts.select("*", F.posexplode(_all_seeds(F.col("_hashes"), F.col("_n"), masks)).alias("_at", "_seed")).join(seeds, "_seed")
         hits = hits.join(F.broadcast(mine.select("_item", "_item_id", "hashes", "n")), "_item")
         place = _placed(F.col("_at"), F.col("_n"), masks)

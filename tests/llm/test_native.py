@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,36 @@ def test_leaks(spark, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in docs if i not in (20, 21, 24, None))
     assert decontamination.leaks(frame.limit(0), items).count() == decontamination.leaks(frame, items.limit(0)).count() == 0
     assert "Python" not in decontamination.leaks(frame, items)._jdf.queryExecution().executedPlan().toString()
+
+
+def leaking(doc, item):
+    """The rule by brute force: 13 consecutive item tokens (all, if fewer) of which 80 % agree in one alignment."""
+    run = min(13, len(item))
+    for offset in range(1 - len(item), len(doc)):
+        same = [0 <= offset + k < len(doc) and doc[offset + k] == x for k, x in enumerate(item)]
+        if any(5 * sum(same[k : k + run]) >= 4 * run for k in range(len(item) - run + 1)):
+            return True
+    return False
+
+
+def replaced(item, at):
+    return [f"other{k}" if k in at else x for k, x in enumerate(item)]
+
+
+def against_the_rule(spark, tmp_path, items, docs):
+    bench = table(spark, tmp_path, "b", [(i, " ".join(x)) for i, x in items.items()], "item_id long, text string", 1)
+    frame = table(spark, tmp_path, "d", [(i, " ".join(x)) for i, x in enumerate(docs)])
+    got = {(r.doc_id, r.item_id) for r in decontamination.leaks(frame, bench).collect()}
+    wanted = {(i, j) for i, doc in enumerate(docs) for j, item in items.items() if leaking(doc, item)}
+    assert got == wanted
+    return wanted
+
+
+def test_leaks_with_two_of_thirteen_tokens_replaced(spark, tmp_path):
+    item = [f"w{k}" for k in range(20)]
+    docs = [replaced(item[:16], {2, 7, 12})]
+    for start in (0, 3, 4, 7):
+        docs += [["x", "y", *replaced(item, {start + a, start + b})[start : start + 13], "z"] for a, b in combinations(range(13), 2)]
+        docs += [replaced(item, {start + a, start + b, start + 6})[start : start + 13] for a, b in combinations(range(6), 2)]
+    wanted = against_the_rule(spark, tmp_path, {1: item, 2: item[:16]}, docs)
+    assert (0, 2) in wanted and len(wanted) > 400
