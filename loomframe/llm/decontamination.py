@@ -32,6 +32,14 @@ STEP = 1
 #: By (tokens, how many of them may differ): masks of which one, somewhere within, looks at none that differs.
 LOSSLESS = {
     (13, 2): ("11101011", "11001111"),
+    (12, 2): ("11101011", "101100111", "111111"),
+    (11, 2): ("111101", "110010011"),
+    (10, 2): ("111011", "11010011", "11111"),
+    (9, 1): ("111111", "1110111"),
+    (8, 1): ("11111", "111011"),
+    (7, 1): ("11111", "111011", "110111"),
+    (6, 1): ("1111", "11011"),
+    (5, 1): ("1111", "11101", "11011", "10111"),
 }
 ITEMS_PER_BLOCK = 20_000
 
@@ -138,9 +146,8 @@ def leaks(
     items = items.withColumns({"n": F.size("hashes"), "_item": F.xxhash64(F.col("_item_id").cast("string"), "hashes")}).where("n > 0")
     facts = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("n") < run, F.col("n"))).alias("short"), F.max("n").alias("longest")).first()
     blocks = max(1, math.ceil(facts.n / items_per_block))
-    main = tuple(masks or lossless_masks(run, agree))
-    families = {n: ("1" * n,) if any(len(m) > n for m in main) else main for n in sorted(facts.short)}
-    families[run] = main if (facts.longest or run) >= run else ()
+    families = {n: lossless_masks(n, agree) for n in sorted(facts.short)}
+    families[run] = tuple(masks or lossless_masks(run, agree)) if (facts.longest or run) >= run else ()
     masks = [*dict.fromkeys(m for n in sorted(families, reverse=True) for m in families[n])]
 
     texts = documents.select(F.col(id_col).alias("_doc_id"), token_hashes(F.col(text_col)).alias("_hashes"))

@@ -146,3 +146,14 @@ def test_leaks_with_two_of_thirteen_tokens_replaced(spark, tmp_path):
         docs += [replaced(item, {start + a, start + b, start + 6})[start : start + 13] for a, b in combinations(range(6), 2)]
     wanted = against_the_rule(spark, tmp_path, {1: item, 2: item[:16]}, docs)
     assert (0, 2) in wanted and len(wanted) > 400
+
+
+def test_leaks_of_short_items(spark, tmp_path):
+    items = {n: [f"n{n}w{k}" for k in range(n)] for n in range(1, 13)}
+    docs = []
+    for n, item in items.items():
+        for size in (0, 1, 2, 3):
+            docs += [["x", *replaced(item, set(at)), "y", "z"] for at in combinations(range(n), size)]
+        docs += [item[1:], item[:-1], item[2:], item[1:-1]]
+    wanted = against_the_rule(spark, tmp_path, items, docs)
+    assert {j for _, j in wanted} == set(items) and len(wanted) < len(docs)
