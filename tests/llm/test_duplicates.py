@@ -193,3 +193,37 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     from hashlib import sha256
 
     assert all(r.decoded_sha256 == sha256(final[r.doc_id].encode()).hexdigest() for r in tokens.collect())
+
+
+def test_template_family_leaves_no_pair_open(spark, tmp_path):
+    """Texts that share a template and are just not similar, with similar pairs among them."""
+    r = random.Random(8)
+    fresh = lambda n: [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+    template, texts = fresh(111), []
+    for _ in range(300):
+        words = template + fresh(29)
+        texts.append(words)
+        if len(texts) % 6 == 0:
+            twin = [*words]
+            for k in range(3):
+                twin[111 + 9 * k] = f"t{r.randint(0, 10**9)}"
+            for k in range(10):
+                twin[5 + 11 * k] = f"t{r.randint(0, 10**9)}"
+            texts.append(twin)
+    df = table(spark, tmp_path, "d", [(i, " ".join(w)) for i, w in enumerate(texts)] + [(1000 + i, " ".join(w)) for i, w in enumerate(texts[:40])])
+    found = {x.doc_id: x.class_id for x in near_dedup.classes(df).collect()}
+    number = np.unique([w for t in texts for w in t], return_inverse=True)[1].astype(np.uint64) * np.uint64(2)
+    ids = np.split(number, np.cumsum([len(t) for t in texts])[:-1])
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    same = near_dedup.similar([ids[a] for a, _ in pairs], [ids[b] for _, b in pairs])
+    near = [p for p, ok in zip(pairs, same, strict=True) if ok]
+    drawn = [set(s.tolist()) for s in (near_dedup.sketches(*near_dedup.labelled_kmers(words, np.array([len(words)])))[0] for words in (near_dedup.tokens(*packed(w))[0] for w in texts))]
+    near = [(a, b) for a, b in near if drawn[a] & drawn[b]]
+    missed = [(a, b) for a, b in near if found[a] != found[b]]
+    assert len(near) >= 20 and not missed
+    assert len(set(found.values())) >= 300
+
+
+def packed(words):
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return data, np.array([0, len(data)])
