@@ -37,7 +37,7 @@ from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, L
 
 from .common import cogrouped, grouped, narrow, stored, table
 from .packing import pack, smallest, unpack
-from .textkernels import U, gram_hash, mixed, prefix_hash, slices, sliding_min, span_hash
+from .textkernels import U, gathered, gram_hash, mixed, prefix_hash, slices, sliding_min, span_hash, word_spans
 
 LENGTH = 400
 GRAM = 96
@@ -137,11 +137,27 @@ def _ranges(a: Anchors) -> np.ndarray:
     return mixed(a.gram) + a.span
 
 
-def _listed(length: int, gram: int, buckets: int):
+def _document(text: _Text, at: np.ndarray) -> np.ndarray:
+    """The number within the chunk of the document that each byte position lies in."""
+    return np.searchsorted(text.offsets, at, "right") - 1
+
+
+def _times(keys: np.ndarray, document: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs; if documents are given, in how many of them."""
+    if document is None:
+        return np.unique(keys, return_counts=True)
+    order = np.lexsort((document, keys))
+    keys, document = keys[order], document[order]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (document[1:] != document[:-1])
+    return np.unique(keys[fresh], return_counts=True)
+
+
+def _listed(length: int, gram: int, buckets: int, across: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in _chunks(batches):
             a = _all_anchors(text, length, gram)
-            keys, n = np.unique(_ranges(a), return_counts=True)
+            keys, n = _times(_ranges(a), _document(text, a.start) if across else None)
             rows = [*_dealt(keys, [np.minimum(n, 2).astype(np.uint8)], buckets, 0)]
             grams, at = np.unique(a.gram, return_inverse=True)
             least, most = np.full(len(grams), np.iinfo(U).max), np.zeros(len(grams), U)
@@ -212,12 +228,12 @@ def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 # what step 2 sends on: ranges to compare (_RANGE), bytes found covered (_WHOLE), windows to count (_WINDOW) and where they stand (_PLACES)
-_FOUND = StructType([StructField("kind", IntegerType()), StructField("chunk", LongType()), StructField("part", IntegerType()), StructField("gram", LongType()), StructField("start", IntegerType()), StructField("lead", IntegerType()), StructField("needs", BooleanType()), StructField("blob", BinaryType())])
+_FOUND = StructType([StructField("kind", IntegerType()), StructField("chunk", LongType()), StructField("part", IntegerType()), StructField("gram", LongType()), StructField("start", ArrayType(IntegerType())), StructField("lead", IntegerType()), StructField("needs", BooleanType()), StructField("owner", LongType()), StructField("blob", BinaryType())])
 
 
 def _found(kind: int, chunk: int, n: int, **columns: list | pa.Array) -> pa.Table:
     given = {"kind": pa.array([kind] * n, pa.int32()), "chunk": pa.array([chunk] * n, pa.int64())} | columns
-    kinds = {"part": pa.int32(), "gram": pa.int64(), "start": pa.int32(), "lead": pa.int32(), "needs": pa.bool_(), "blob": pa.binary()}
+    kinds = {"part": pa.int32(), "gram": pa.int64(), "start": pa.list_(pa.int32()), "lead": pa.int32(), "needs": pa.bool_(), "owner": pa.int64(), "blob": pa.binary()}
     return pa.table({f.name: given.get(f.name, pa.nulls(n, kinds.get(f.name, pa.null()))) for f in _FOUND.fields})
 
 
@@ -233,7 +249,7 @@ def united(start: np.ndarray, end: np.ndarray, touching: bool = True) -> tuple[n
     return start[first], reach[np.append(first[1:], len(start)) - 1]
 
 
-def _compared(length: int, gram: int, buckets: int):
+def _compared(length: int, gram: int, buckets: int, across: bool):
     def run(answers: pa.Table, chunk: pa.Table) -> pa.Table:
         text = _unpacked_text(chunk)
         a = _all_anchors(text, length, gram)
@@ -242,21 +258,30 @@ def _compared(length: int, gram: int, buckets: int):
         of_gram = _looked_up([b for p, b in zip(parts, blobs, strict=True) if p >= buckets], a.gram)
         whole = (of_range & 1) == 1
         out = [_found(_WHOLE, text.number, 1, blob=pa.array([pack(*map(smallest, united(a.start[whole], a.end[whole], touching=False)))], pa.binary()))]
-        # one copy of every range that differs from others of its anchor
-        first = np.zeros(len(a.at), bool)
-        first[np.unique(_ranges(a), return_index=True)[1]] = True
-        send = np.flatnonzero((of_gram == 1) & (of_range & 2 == 2) & first)
+        # one copy of every range that differs from others of its anchor, with all places where it stands here
+        of = _ranges(a)
+        order = np.argsort(of, kind="stable")
+        edges = np.flatnonzero(np.append(np.append(True, of[order][1:] != of[order][:-1]), True)) if len(of) else np.zeros(1, np.int64)
+        first = order[edges[:-1]]
+        wanted = (of_gram[first] == 1) & (of_range[first] & 2 == 2)
+        send = first[wanted]
         raw = text.data.tobytes()
         if len(send):
+            # what occurs elsewhere as a whole needs no other place here
+            n = np.where(whole[send], 1, np.diff(edges)[wanted])
+            places = a.start[gathered(edges[:-1][wanted], n, order)]
+            # a range of one document only belongs to it, any other to nobody
+            owner = np.where(whole[send] | (not across), -1, (text.number << 31) + _document(text, a.start[send]))
             out.append(
                 _found(
                     _RANGE,
                     text.number,
                     len(send),
                     gram=pa.array(a.gram[send].view(np.int64)),
-                    start=pa.array(a.start[send], pa.int32()),
+                    start=pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(places, pa.int32())),
                     lead=pa.array(a.at[send] - a.start[send], pa.int32()),
                     needs=pa.array(~whole[send]),
+                    owner=pa.array(owner, pa.int64()),
                     blob=pa.array([raw[s:e] for s, e in zip(a.start[send].tolist(), a.end[send].tolist(), strict=True)], pa.binary()),
                 )
             )
@@ -265,7 +290,7 @@ def _compared(length: int, gram: int, buckets: int):
             starts = _window_starts(a, hot, length)
             out.append(_found(_PLACES, text.number, 1, blob=pa.array([pack(*map(smallest, united(starts, starts + 1)))], pa.binary())))
             prefix = prefix_hash(text.data)
-            keys, n = np.unique(span_hash(prefix, starts, starts + length), return_counts=True)
+            keys, n = _times(span_hash(prefix, starts, starts + length), _document(text, starts) if across else None)
             rows = [*_dealt(keys, [np.minimum(n, 2).astype(np.uint8)], buckets, 0)]
             out.append(_found(_WINDOW, text.number, len(rows), part=pa.array([p for p, _ in rows], pa.int32()), blob=pa.array([b for _, b in rows], pa.binary())))
         return pa.concat_tables(out)
@@ -324,15 +349,37 @@ def intervals(lcp: np.ndarray) -> Iterator[tuple[int, int, int]]:
             stack.append((d, first))
 
 
-def maximal_repeats(left: np.ndarray, right: np.ndarray, left_sizes: np.ndarray, right_sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(near: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each of the sorted strings the most that it shares with one of another owner, from what neighbours share; far below 0 if there is none."""
+    out = np.full(len(owner), -(1 << 40))
+    if (owner < 0).all() or (owner[1:] != owner[:-1]).all():
+        out[:-1] = near
+        out[1:] = np.maximum(out[1:], near)
+        return out
+    for step in (1, -1):
+        who, shared = owner[::step], near[::step]
+        edge = np.ones(len(who), bool)
+        edge[1:] = (who[1:] != who[:-1]) | (who[1:] < 0)
+        first = np.flatnonzero(edge)
+        mine = np.full(len(who), -(1 << 40))
+        for lo, hi in zip(first.tolist(), np.append(first[1:], len(who)).tolist(), strict=True):
+            if lo:
+                mine[lo:hi] = np.minimum.accumulate(shared[lo - 1 : hi - 1])
+        out = np.maximum(out, mine[::step])
+    return out
+
+
+def maximal_repeats(left: np.ndarray, right: np.ndarray, left_sizes: np.ndarray, right_sizes: np.ndarray, length: int, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each occurrence of an anchor, the bytes left and right of it that repeats of ``length`` or more cover.
 
     ``right`` holds the suffixes from the anchor on, ``left`` the bytes before it read backwards.
     Suffixes in an interval of depth r share r bytes. Their left extensions, sorted, show how
     diverse they are: neighbours that agree on l bytes, l + r >= length, are occurrences of one
     repeat, and runs of such neighbours are its group, which no byte to the left extends as a whole.
-    Repeats of one occurrence all hold the anchor, so their union is one span.
+    Repeats of one occurrence all hold the anchor, so their union is one span. With ``owner``,
+    occurrences of one owner (0 or more) are no repeat of each other.
     """
+    owner = np.full(len(right), -1) if owner is None else owner
     covered_left, covered_right = np.zeros(len(right), np.int64), np.zeros(len(right), np.int64)
     order, lcp = _sorted(right, right_sizes)
     rank = np.empty(len(left), np.int64)
@@ -345,9 +392,7 @@ def maximal_repeats(left: np.ndarray, right: np.ndarray, left_sizes: np.ndarray,
         mine = order[first : last + 1]
         mine = mine[np.argsort(rank[mine])]
         near = _shared(left, left_sizes, mine)
-        agree = np.zeros(len(mine), np.int64)
-        agree[:-1] = near
-        agree[1:] = np.maximum(agree[1:], near)
+        agree = _nearest(near, owner[mine])
         hit = agree + depth >= length
         at = mine[hit]
         covered_left[at] = np.maximum(covered_left[at], agree[hit])
@@ -372,10 +417,12 @@ def _repeats(length: int):
         blobs, lead = rows["blob"].to_pylist(), rows["lead"].to_pylist()
         left, left_sizes = _matrix([b[:n] for b, n in zip(blobs, lead, strict=True)], True)
         right, right_sizes = _matrix([b[n:] for b, n in zip(blobs, lead, strict=True)], False)
-        before, after = maximal_repeats(left, right, left_sizes, right_sizes, length)
-        anchor = rows["start"].to_numpy() + np.array(lead)
+        before, after = maximal_repeats(left, right, left_sizes, right_sizes, length, rows["owner"].to_numpy())
         hit = np.flatnonzero(needs & (after > 0))
-        return pa.table({"chunk": rows["chunk"].combine_chunks().take(pa.array(hit)), "kind": pa.array(np.full(len(hit), _RANGE, np.int32)), "start": pa.array((anchor - before)[hit], pa.int32()), "end": pa.array((anchor + after)[hit], pa.int32()), "blob": pa.nulls(len(hit), pa.binary())})
+        start = rows["start"].combine_chunks().take(pa.array(hit))
+        each = np.repeat(hit, start.value_lengths().to_numpy())
+        anchor = start.flatten().to_numpy() + np.array(lead, np.int64)[each]
+        return pa.table({"chunk": rows["chunk"].combine_chunks().take(pa.array(each)), "kind": pa.array(np.full(len(each), _RANGE, np.int32)), "start": pa.array(anchor - before[each], pa.int32()), "end": pa.array(anchor + after[each], pa.int32()), "blob": pa.nulls(len(each), pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by anchor; a group may go over batches."""
@@ -397,7 +444,19 @@ def _repeats(length: int):
 
 # --- the texts that are left
 
-def _cut(length: int, whole_characters: bool):
+def _wordy(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, words: int, distinct: int) -> np.ndarray:
+    """Whether each span holds so many whole words, and so many different ones."""
+    word, last = word_spans(data, offsets)
+    lo, hi = np.searchsorted(word, start), np.searchsorted(last, end, "right")
+    out = hi - lo >= words
+    if distinct > 1:
+        h = span_hash(prefix_hash(data), word, last)
+        for i in np.flatnonzero(out):
+            out[i] = len(np.unique(h[lo[i] : hi[i]])) >= distinct
+    return out
+
+
+def _cut(length: int, whole_characters: bool, words: int, distinct: int):
     def run(found: pa.Table, chunk: pa.Table) -> pa.Table:
         text = _unpacked_text(chunk)
         kind = np.array(found["kind"].to_pylist(), np.int64)
@@ -416,6 +475,9 @@ def _cut(length: int, whole_characters: bool):
         start, end = united(start + of, end + of)
         of = np.searchsorted(text.offsets + np.arange(n + 1), start, "right") - 1
         start, end = start - of, end - of
+        if words or distinct:
+            long = _wordy(text.data, text.offsets, start, end, words, distinct)
+            start, end, of = start[long], end[long], of[long]
         gone = np.zeros(len(text.data), bool)
         for lo, hi in zip(start.tolist(), end.tolist(), strict=True):
             gone[lo:hi] = True
@@ -435,13 +497,15 @@ def _cut(length: int, whole_characters: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, whole_characters: bool = False, across: bool = False, min_words: int = 0, min_distinct_words: int = 0) -> DataFrame:
     """One row per text: doc_id, n_bytes, n_removed, n_spans and ``kept``, the bytes that are left.
 
     Strings are judged on the input; overlaps, repeats in one text and equal texts count. Null and
     empty texts have 0 bytes. Null ids, ties and repeated rows stay, one output row each; an empty
     table gives an empty result. Extra columns aren't read. With ``whole_characters`` a character
-    that lost a byte goes as a whole and ``kept`` is a string. ``df`` is read more than once and
+    that lost a byte goes as a whole and ``kept`` is a string. With ``across`` only strings that also
+    occur in another document count, not those that repeat within one. A run of bytes to remove stays
+    if it holds fewer than ``min_words`` whole words or fewer than ``min_distinct_words`` different ones. ``df`` is read more than once and
     must give the same rows in the same order, as a scan of files does; otherwise the query fails.
     """
     if not 0 < gram <= length:
@@ -454,11 +518,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     to_arrow_type(id_type)  # an id that Arrow can't carry fails here, not on an executor
     packed = StructType([StructField("chunk", LongType()), StructField("blob", BinaryType()), StructField("ids", ArrayType(id_type)), StructField("lengths", BinaryType())])
     texts = rows.mapInArrow(narrow(_packed_texts), packed).groupBy("chunk")
-    answers = rows.mapInArrow(narrow(_listed(length, gram, buckets)), _PACKED).groupBy("part").applyInArrow(grouped(_judged(buckets, group)), _PACKED)
-    found = stored(answers.groupBy("chunk").cogroup(texts).applyInArrow(cogrouped(_compared(length, gram, buckets)), _FOUND), "repeats")
+    answers = rows.mapInArrow(narrow(_listed(length, gram, buckets, across)), _PACKED).groupBy("part").applyInArrow(grouped(_judged(buckets, group)), _PACKED)
+    found = stored(answers.groupBy("chunk").cogroup(texts).applyInArrow(cogrouped(_compared(length, gram, buckets, across)), _FOUND), "repeats")
 
     covered = StructType([StructField("chunk", LongType()), StructField("kind", IntegerType()), StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("blob", BinaryType())])
-    ranges = found.where(F.col("kind") == _RANGE).select("gram", "chunk", "start", "lead", "needs", "blob")
+    ranges = found.where(F.col("kind") == _RANGE).select("gram", "chunk", "start", "lead", "needs", "owner", "blob")
     ranges = ranges.repartition("gram").sortWithinPartitions("gram").mapInArrow(narrow(_repeats(length)), covered)
     counts = found.where(F.col("kind") == _WINDOW).select("chunk", "part", "blob").groupBy("part").applyInArrow(grouped(_counted), _PACKED)
     known = found.where(F.col("kind").isin(_WHOLE, _PLACES))
@@ -466,7 +530,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every = ranges.unionByName(counts.select("chunk", F.lit(_WINDOW).alias("kind"), nothing.alias("start"), nothing.alias("end"), "blob"))
     every = every.unionByName(known.select("chunk", "kind", nothing.alias("start"), nothing.alias("end"), "blob"))
     out = StructType([StructField("doc_id", id_type), *(StructField(k, LongType()) for k in ("n_bytes", "n_removed", "n_spans")), StructField("kept", StringType() if whole_characters else BinaryType())])
-    return every.groupBy("chunk").cogroup(texts).applyInArrow(cogrouped(_cut(length, whole_characters)), out)
+    return every.groupBy("chunk").cogroup(texts).applyInArrow(cogrouped(_cut(length, whole_characters, min_words, min_distinct_words)), out)
 
 
 def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicate classes, components, repeated strings and the pipeline against brute force."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -113,15 +114,20 @@ def test_classes(spark, tmp_path, corpus):
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
-def removed(texts, length):
+def removed(texts, length, across=False, words=0, distinct=0):
     raw = [(t or "").encode() for t in texts]
-    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    windows = [[b[i : i + length] for i in range(len(b) - length + 1)] for b in raw]
+    seen = Counter(x for w in windows for x in (set(w) if across else w))
     out = []
-    for b in raw:
+    for b, mine in zip(raw, windows, strict=True):
         gone = bytearray(len(b))
-        for i in range(len(b) - length + 1):
-            if seen[b[i : i + length]] > 1:
+        for i, w in enumerate(mine):
+            if seen[w] > 1:
                 gone[i : i + length] = b"\1" * length
+        for m in re.finditer(b"\1+", bytes(gone)) if words or distinct else ():
+            inside = [b[x.start() : x.end()] for x in re.finditer(rb"[^ \t-\r]+", b) if m.start() <= x.start() and x.end() <= m.end()]
+            if len(inside) < words or len(set(inside)) < distinct:
+                gone[m.start() : m.end()] = bytes(m.end() - m.start())
         spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
         out.append((len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)))
     return out
@@ -132,7 +138,7 @@ def test_repeats_against_brute_force(spark, tmp_path, monkeypatch, gram, group):
     monkeypatch.setattr(repeats, "CHUNK_BYTES", 3000)
     r = random.Random(gram * 31 + group)
     passages = ["".join(r.choice("abcé") for _ in range(r.randint(5, 60))) for _ in range(12)]
-    texts = [None, "", passages[0] * 3, "\0" * 80, "\0" * 30 + "x", *(t for _, t in EDGES if t is None or len(t) < 1000)]
+    texts = [None, "", passages[0] * 3, passages[1] * 4 + passages[2] * 2, "\0" * 80, "\0" * 30 + "x", "ab" * 200, *(t for _, t in EDGES if t is None or len(t) < 1000)]
     for _ in range(200):
         t = ""
         for _ in range(r.randint(0, 5)):
@@ -140,11 +146,26 @@ def test_repeats_against_brute_force(spark, tmp_path, monkeypatch, gram, group):
             if r.random() < 0.6:
                 p = r.choice(passages)
                 t += p[r.randint(0, len(p) // 2) :]
+            if r.random() < 0.1:
+                t += t[-40:]
         texts.append(t)
     texts += r.sample(texts, 20)
     df = clashing(table(spark, tmp_path, "d", list(enumerate(texts))))
-    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in repeats.remove_repeats(df, length=20, gram=gram, group=group).collect()}
-    assert got == dict(enumerate(removed(texts, 20)))
+    for across in (False, True):
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in repeats.remove_repeats(df, length=20, gram=gram, group=group, across=across).collect()}
+        assert got == dict(enumerate(removed(texts, 20, across)))
+
+
+def test_repeats_of_so_many_words(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", 2000)
+    r = random.Random(9)
+    fresh = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    passages = [fresh(n) for n in (4, 8, 9, 10, 11, 12, 30)] + ["so " * 40]
+    texts = [None, "", " ", passages[3], passages[3], passages[6] + " " + passages[6]]
+    texts += [f"{fresh(r.randint(0, 9))} {r.choice(passages)}{r.choice(['', ' ', ', x'])} {fresh(r.randint(0, 9))} {r.choice(passages)}" for _ in range(80)]
+    df = clashing(table(spark, tmp_path, "d", list(enumerate(texts))))
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in repeats.remove_repeats(df, length=30, gram=8, across=True, min_words=10, min_distinct_words=5).collect()}
+    assert got == dict(enumerate(removed(texts, 30, True, 10, 5)))
 
 
 def test_repeats_in_whole_characters(spark, tmp_path):
@@ -173,8 +194,8 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     r = random.Random(4)
     prose = lambda n: " ".join(r.choice("the of and river house green walks slowly under bridge stone light".split()) + str(r.randint(0, 9)) * (r.random() < 0.2) for _ in range(n))
     item = prose(30)
-    rows = [(i, t, "en", "src", len(t or "")) for i, t in docs] + [(1000, prose(60) + " " + item + " " + prose(60), "en", "src", 1)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, t, "en", "src", len(t or ""), "x") for i, t in docs] + [(1000, prose(60) + " " + item + " " + prose(60), "en", "src", 1, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, `a.b` string"
     table(spark, tmp_path, "documents.parquet", rows, schema)
     table(spark, tmp_path, "benchmark.parquet", [(1, item)], "item_id long, text string", 1)
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -187,9 +208,12 @@ def test_pipeline_stages(spark, tmp_path, corpus):
         seen[name] = {r.doc_id for r in now.select("doc_id").collect()}
     assert not {1, 2, 3, 8} & seen["language_id"] and {4, 5, 6, 7, 9} <= seen["language_id"]
     assert 6 not in seen["near_dedup"] and 5 in seen["near_dedup"] and 1000 in seen["repeats"] and 1000 not in seen["decontamination"]
+    shared = docs[-1][1].split(" ")[100:]
+    final = {r.doc_id: r.text for r in now.collect()}
+    assert len(shared) == 60 and sum(" ".join(shared[:50]) in (t or "") for t in final.values()) == 0
+    assert 4 in final and final[4].split() == ["word"] * 4000  # repeats itself only
     tokens = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in tokens.collect()} == seen["decontamination"]
-    final = {r.doc_id: r.text for r in now.collect()}
     from hashlib import sha256
 
     assert all(r.decoded_sha256 == sha256(final[r.doc_id].encode()).hexdigest() for r in tokens.collect())
