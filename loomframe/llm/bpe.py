@@ -25,7 +25,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 
 from .common import cogrouped, grouped, narrow, table
 from .packing import pack, smallest, unpack
-from .textkernels import HashIndex, U, gathered, prefix_hash, pretoken_starts, slices, span_hash
+from .textkernels import U, Words, gathered, prefix_hash, pretoken_starts, slices, span_hash
 
 CHUNK_BYTES = 8 << 20
 _PAYLOAD = -1
@@ -67,7 +67,7 @@ class _Chunk:
 
     def __init__(self) -> None:
         self.ids: list[pa.Array] = []
-        self.index, self.bytes, self.lengths, self.hashes = HashIndex(), [], [], []
+        self.words = Words()
         self.stream: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.size = 0
@@ -75,24 +75,15 @@ class _Chunk:
     def add(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray) -> None:
         start = pretoken_starts(data, offsets)
         end = np.append(start[1:], len(data))[: len(start)]
-        h = span_hash(prefix_hash(data), start, end)
-        at = self.index.find(h)
-        if (fresh := np.flatnonzero(at < 0)).size:
-            new, where = np.unique(h[fresh], return_index=True)
-            where = fresh[where]
-            self.index.add(new)
-            self.hashes.append(new)
-            self.lengths.append(end[where] - start[where])
-            self.bytes.append(gathered(start[where], end[where] - start[where], data))
-            at[fresh] = self.index.find(h[fresh])
-        self.stream.append(at)
+        self.stream.append(self.words.numbers(data, start, end))
         self.counts.append(np.diff(np.searchsorted(start, offsets)))
         self.ids.append(ids)
         self.size += len(data)
 
     def rows(self, buckets: int, payload: bool) -> Iterator[tuple[int, bytes, pa.Array | None]]:
         """Words by bucket, or the stream that refers to them; both number the words by (bucket, first seen)."""
-        hashes = np.concatenate([*self.hashes, np.empty(0, U)])
+        words = self.words
+        hashes = words.hashes[: words.count]
         bucket = ((hashes >> U(20)) % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         if payload:
@@ -107,12 +98,10 @@ class _Chunk:
             # frequent words get small numbers, which pack tighter
             yield _PAYLOAD, pack(smallest(rank_of[stream]), smallest(place[by_use]), smallest(np.concatenate(self.counts))), ids
             return
-        lengths = np.concatenate([*self.lengths, np.empty(0, np.int64)])
-        starts, data = np.cumsum(lengths) - lengths, np.concatenate([*self.bytes, np.empty(0, np.uint8)])
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)):
             mine = order[edges[b] : edges[b + 1]]
-            yield int(b), pack(smallest(lengths[mine]), gathered(starts[mine], lengths[mine], data)), None
+            yield int(b), pack(smallest(words.lengths[mine]), gathered(words.starts[mine], words.lengths[mine], words.bytes)), None
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], buckets: int, payload: bool, kind: pa.DataType) -> Iterator[pa.RecordBatch]:

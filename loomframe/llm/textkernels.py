@@ -274,3 +274,68 @@ def gathered(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+
+
+def _heads(data: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each string as one number, zeros after its end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[start] & _MASKS[np.minimum(lengths, 8)]
+
+
+class Words:
+    """Distinct strings of bytes, numbered as they come. A hash finds a string, its bytes tell it apart."""
+
+    def __init__(self) -> None:
+        self.index, self.count, self.size = HashIndex(), 0, 0
+        self.starts, self.lengths, self.heads, self.hashes, self.bytes = (np.empty(0, t) for t in (np.int64, np.int64, U, U, np.uint8))
+        self.number = np.empty(0, np.int32)  # by row of the index
+        self.others: dict[bytes, int] = {}  # strings whose hash another string had before
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        a = getattr(self, name)
+        if len(a) < at + len(values):
+            a = np.concatenate([a[:at], np.empty(max(len(values), at), a.dtype)])
+            setattr(self, name, a)
+        a[at : at + len(values)] = values
+
+    def _add(self, data: np.ndarray, start: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        ends = self.size + np.cumsum(lengths)
+        for name, values in (("starts", ends - lengths), ("lengths", lengths), ("heads", _heads(data, start, lengths)), ("hashes", hashes)):
+            self._put(name, self.count, values)
+        self._put("bytes", self.size, gathered(start, lengths, data))
+        first = self.count
+        self.count += len(start)
+        self.size = int(ends[-1])
+        return np.arange(first, self.count, dtype=np.int32)
+
+    def _same(self, data: np.ndarray, start: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = (self.lengths[at] == lengths) & (self.heads[at] == _heads(data, start, lengths))
+        if len(long := np.flatnonzero(out & (lengths > 8))):
+            n = lengths[long] - 8
+            ok = gathered(self.starts[at[long]] + 8, n, self.bytes) == gathered(start[long] + 8, n, data)
+            out[long] = np.minimum.reduceat(ok, np.cumsum(n) - n)
+        return out
+
+    def numbers(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each data[start:end]; new ones are added."""
+        if not len(start):
+            return np.empty(0, np.int32)
+        lengths, h = end - start, span_hash(prefix_hash(data), start, end)
+        row = self.index.find(h)
+        if (fresh := np.flatnonzero(row < 0)).size:
+            new, where = np.unique(h[fresh], return_index=True)
+            where = fresh[where]
+            self._put("number", self.index.count, self._add(data, start[where], lengths[where], new))
+            self.index.add(new)
+            row[fresh] = self.index.find(h[fresh])
+        out = self.number[row]
+        for i in np.flatnonzero(~self._same(data, start, lengths, out)).tolist():
+            word = data[start[i] : end[i]].tobytes()
+            if word not in self.others:
+                one = slice(i, i + 1)
+                self.others[word] = int(self._add(data, start[one], lengths[one], h[one])[0])
+            out[i] = self.others[word]
+        return out

@@ -9,9 +9,10 @@ import pyarrow as pa
 import regex
 import tiktoken  # noqa: F401
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from loomframe.llm import bpe, token_files
-from loomframe.llm.textkernels import HashIndex, pretoken_starts, slices
+from loomframe.llm.textkernels import HashIndex, Words, prefix_hash, pretoken_starts, slices, span_hash
 
 from .helpers import EDGES, clashing, sentences, table
 
@@ -39,7 +40,23 @@ def test_hash_index():
     assert (index.find(keys ^ np.uint64(1))[~np.isin(keys ^ np.uint64(1), keys)] == -1).all()
 
 
-DOCS = [*EDGES, *((100 + i, sentences(i, 200) + f" rare{i}word") for i in range(40)), (300, "<|endoftext|> x" * 3)]
+def thue_morse(n, swapped=False):
+    """Two words of 2**n letters, each the other's complement: a polynomial hash modulo 2**64 takes them for one."""
+    return "".join("ab"[(bin(i).count("1") + swapped) % 2] for i in range(2**n))
+
+
+def test_words_are_told_apart_by_bytes():
+    texts = ["x", thue_morse(11), "y" * 9, thue_morse(11, True), "x", thue_morse(11, True), "", "y" * 9, "y" * 8 + "z", thue_morse(11)]
+    for s in slices(pa.array(texts)):
+        hashes = span_hash(prefix_hash(s.data), s.offsets[:-1], s.offsets[1:])
+        assert hashes[1] == hashes[3]
+        words = Words()
+        got = [words.numbers(s.data, s.offsets[:-1], s.offsets[1:]).tolist() for _ in range(2)]
+        assert got[0] == got[1] and [texts[got[0].index(n)] for n in got[0]] == texts
+        assert [words.bytes[words.starts[n] :][: words.lengths[n]].tobytes().decode() for n in got[0]] == texts
+
+
+DOCS = [*EDGES, (400, thue_morse(11) + " " + thue_morse(11, True)), (401, thue_morse(11, True)), (402, "<|endoftext|>"), (403, "a<|endoftext|><|endoftext|> b <|endoftext"), (404, "|>"), *((100 + i, sentences(i, 200) + f" rare{i}word") for i in range(40)), (300, "<|endoftext|> x" * 3)]
 
 
 def test_round_trip(spark, tmp_path, monkeypatch):
@@ -62,7 +79,8 @@ def test_token_files(spark, tmp_path, monkeypatch):
     df = clashing(table(spark, tmp_path, "d", DOCS))
     path = str(tmp_path / "tokens")
     token_files.write(df, path)
-    library = token_files._tokenizer(open(token_files.tokenizer_file(), encoding="utf-8").read())
+    library = Tokenizer.from_file(token_files.tokenizer_file())
+    assert 50256 in library.encode(dict(DOCS)[402], add_special_tokens=False).ids
     ids = {(i, t): [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in DOCS}
     got = token_files.read(spark, path).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted((i for i, _ in DOCS), key=lambda i: (i is not None, i or 0))
