@@ -31,7 +31,7 @@ from .textkernels import Words, gathered, pretoken_starts, slices
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2000
-MEMO_WORDS = 1 << 20
+MEMO_WORDS = 1 << 19
 
 
 def tokenizer_file() -> str:
@@ -67,7 +67,7 @@ def _cut_out(pattern: re.Pattern[bytes], raw: bytes, offsets: np.ndarray) -> np.
 
 
 class _Memo:
-    """Ids of the pre-tokens seen so far, at most MEMO_WORDS of them; then it starts anew."""
+    """Ids of the pre-tokens seen so far, at most MEMO_WORDS of them beside one slice's; then it starts anew."""
 
     def __init__(self, content: str) -> None:
         self.encode, self.added = _tokenizer(content).encode_batch_fast, _added(content)
@@ -115,6 +115,12 @@ class _Memo:
         return gathered(self.starts[at], n, self.ids), np.diff(bounds)
 
 
+@cache
+def _memo(content: str) -> _Memo:
+    """One for each worker, which goes from task to task: a cache of a pure function."""
+    return _Memo(content)
+
+
 def write(df: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Writes the ids of every text, ``end_id`` after each, in ascending order of id (nulls first, ties by a hash of the text).
 
@@ -134,7 +140,7 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, id_col: str =
     schema = StructType([StructField("part", IntegerType()), StructField("first", LongType()), rows.schema["doc_id"], StructField("n_tokens", LongType()), StructField("tokens", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first, memo = TaskContext.get().partitionId(), 0, _Memo(content)
+        part, first, memo = TaskContext.get().partitionId(), 0, _memo(content)
         for batch in batches:
             for s in slices(batch.column(1)):
                 ids, n = memo.encoded(s.data, s.offsets)
