@@ -10,9 +10,12 @@ the item is laid over the document and compared token by token.
 A pair is a leak when, in one alignment, some ``run`` consecutive tokens of the item (all of them if
 it has fewer) agree with the document in at least ``agree`` of their places.
 
-Plan: one narrow pass over the documents per block of benchmark items. A block has at most
-ITEMS_PER_BLOCK items on average, which bounds what is broadcast; more items make more blocks, not
-larger ones. Only verified hits are shuffled.
+Plan: one narrow pass over the documents per block of benchmark items; positions are exploded first,
+so that seeds are plain expressions of compiled code. Items longer than PIECE tokens are cut in pieces
+that overlap by ``run`` - 1 tokens, which holds every run of the rule. A block has TOKENS_PER_BLOCK item
+tokens on average and at most a piece more per item, which bounds both tables that are broadcast, in
+bytes; a larger benchmark makes more blocks, not larger ones. Only hits are shuffled, after each was
+laid out over the runs that hold its seed.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ from .common import table
 
 RUN = 13
 AGREE = 0.8
-STEP = 1
 #: By (tokens, how many of them may differ): masks of which one, somewhere within, looks at none that differs.
 LOSSLESS = {
     (13, 2): ("11101011", "11001111"),
@@ -41,7 +43,8 @@ LOSSLESS = {
     (6, 1): ("1111", "11011"),
     (5, 1): ("1111", "11101", "11011", "10111"),
 }
-ITEMS_PER_BLOCK = 20_000
+TOKENS_PER_BLOCK = 500_000
+PIECE = 512
 
 
 def lossless_masks(n: int, agree: float = AGREE) -> tuple[str, ...]:
@@ -59,48 +62,25 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed(hashes: Column, at: Column, mask: str) -> Column:
-    return F.xxhash64(F.lit(mask), *(F.get(hashes, at + k) for k, bit in enumerate(mask) if bit == "1"))
+def _at_positions(rows: DataFrame, masks: Sequence[str]) -> DataFrame:
+    """``rows`` (hashes, n) once for each token position ``_i`` and mask ``_mask``, with ``_seed``.
 
-
-def _positions(n: Column, mask: str) -> Column:
-    return F.greatest(n - (len(mask) - 1), F.lit(0))
-
-
-def _all_seeds(hashes: Column, n: Column, masks: Sequence[str]) -> Column:
-    none = F.array().cast("array<bigint>")
-
-    def seeds(mask: str) -> Column:
-        return F.when(n >= len(mask), F.transform(F.sequence(F.lit(0), n - len(mask)), lambda i: _seed(hashes, i, mask))).otherwise(none)
-
-    each = [*map(seeds, masks)]
-    return F.concat(*each) if len(each) > 1 else each[0]
+    Tokens past the end of a text are left out of its seeds, which then are none of an item.
+    """
+    at = rows.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("_i"))
+    seeds = [F.xxhash64(F.lit(m), *(F.get("hashes", F.col("_i") + k) for k, bit in enumerate(m) if bit == "1")) for m in masks]
+    return at.select("*", F.posexplode(F.array(*seeds)).alias("_mask", "_seed"))
 
 
-def _placed(at: Column, n: Column, masks: Sequence[str]) -> Column:
-    """(mask, position) of a place in the concatenated seeds of a text of ``n`` tokens."""
-    out, before = None, F.lit(0)
-    for i, m in enumerate(masks):
-        here = at < before + _positions(n, m)
-        place = F.struct(F.lit(i).alias("mask"), (at - before).alias("j"))
-        out = F.when(here, place) if out is None else out.when(here, place)
-        before = before + _positions(n, m)
-    return out
-
-
-def _item_seeds(items: DataFrame, families: dict[int, Sequence[str]], masks: Sequence[str], run: int, step: int) -> DataFrame:
-    """(seed, item, position) for the masks of an item's own length, from ``run`` tokens on at every ``step``-th position and the last."""
-    n = F.col("n")
-    seeds = items.select("_item", "n", F.posexplode(_all_seeds(F.col("hashes"), n, masks)).alias("_at", "_seed"))
-    seeds = seeds.withColumn("_p", _placed(F.col("_at"), n, masks))
-    j = F.col("_p.j")
+def _item_seeds(items: DataFrame, families: dict[int, Sequence[str]], masks: Sequence[str], run: int) -> DataFrame:
+    """(seed, item, position, mask) for the masks of an item's own length, all positions where the mask fits."""
     wanted = F.lit(False)
     for i, m in enumerate(masks):
-        here = n.isin([k for k, family in families.items() if k < run and m in family])
+        here = F.col("n").isin([k for k, family in families.items() if k < run and m in family])
         if m in families[run]:
-            here = here | ((n >= run) & ((j % step == 0) | (j == n - len(m))))
-        wanted = wanted | ((F.col("_p.mask") == i) & here)
-    return seeds.where(wanted).select("_seed", "_item", j.alias("_j"))
+            here = here | (F.col("n") >= run)
+        wanted = wanted | ((F.col("_mask") == i) & here & (F.col("_i") <= F.col("n") - len(m)))
+    return _at_positions(items, masks).where(wanted).select("_seed", "_item", F.col("_i").alias("_j"), F.col("_mask").alias("_by"))
 
 
 def _best_run(hashes: Column, item: Column, offset: Column, run: int) -> Column:
@@ -127,43 +107,50 @@ def leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     masks: Sequence[str] | None = None,
-    step: int = STEP,
     run: int = RUN,
     agree: float = AGREE,
-    items_per_block: int = ITEMS_PER_BLOCK,
+    tokens_per_block: int = TOKENS_PER_BLOCK,
+    piece: int = PIECE,
 ) -> DataFrame:
     """One row for each document and benchmark item that it contains: doc_id, item_id, n_item_tokens, n_agreeing.
 
     Null or empty documents contain nothing; null or token-less items are contained nowhere.
     Repeated documents or items count once for each pair of ids; null ids are ids like any other.
     An empty table on either side gives an empty result. Only ids and texts are read, so extra
-    columns can't clash. Every leak is found, but for items of ``run`` tokens or more under
-    ``masks`` or a ``step`` of one's own.
+    columns can't clash. Texts and items of any length are searched whole. Every leak is found, but for
+    items of ``run`` tokens or more under ``masks`` of one's own. ``n_agreeing`` is the most that agree in a run.
     """
     if masks is not None and (not masks or any(len(m) > run or set(m) - {"0", "1"} or "1" not in m for m in masks)):
         raise ValueError(f"masks must be at most {run} zeros and ones")
+    if piece < 2 * run:
+        raise ValueError("piece must be twice run or more")
     items = benchmark.select(F.col(item_col).alias("_item_id"), token_hashes(F.col(item_text_col)).alias("hashes")).distinct()
-    items = items.withColumns({"n": F.size("hashes"), "_item": F.xxhash64(F.col("_item_id").cast("string"), "hashes")}).where("n > 0")
-    facts = items.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("n") < run, F.col("n"))).alias("short"), F.max("n").alias("longest")).first()
-    blocks = max(1, math.ceil(facts.n / items_per_block))
+    items = items.withColumn("_n_item", F.size("hashes")).where("_n_item > 0")
+    begins = F.when(F.col("_n_item") > piece, F.sequence(F.lit(0), F.col("_n_item") - run, F.lit(piece - run + 1))).otherwise(F.array(F.lit(0)))
+    items = items.select("_item_id", "_n_item", "hashes", F.explode(begins).alias("_begin")).withColumn("hashes", F.slice("hashes", F.col("_begin") + 1, piece)).drop("_begin")
+    items = items.withColumns({"n": F.size("hashes"), "_item": F.xxhash64(F.col("_item_id").cast("string"), "hashes")})
+    facts = items.agg(F.sum("n").alias("tokens"), F.collect_set(F.when(F.col("n") < run, F.col("n"))).alias("short"), F.max("n").alias("longest")).first()
+    blocks = max(1, math.ceil((facts.tokens or 0) / tokens_per_block))
     families = {n: lossless_masks(n, agree) for n in sorted(facts.short)}
     families[run] = tuple(masks or lossless_masks(run, agree)) if (facts.longest or run) >= run else ()
     masks = [*dict.fromkeys(m for n in sorted(families, reverse=True) for m in families[n])]
 
-    texts = documents.select(F.col(id_col).alias("_doc_id"), token_hashes(F.col(text_col)).alias("_hashes"))
-    texts = texts.withColumn("_n", F.size("_hashes"))
+    texts = documents.select(F.col(id_col).alias("_doc_id"), token_hashes(F.col(text_col)).alias("hashes")).withColumn("n", F.size("hashes"))
+    places = _at_positions(texts, masks).select("_doc_id", F.col("hashes").alias("_hashes"), "_i", "_seed")
+    spans = F.array(*(F.lit(len(m)) for m in masks))
     found = []
     for block in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.col("_item"), F.lit(blocks)) == block)
-        seeds = F.broadcast(_item_seeds(mine, families, masks, run, step))  # at most a block of items
-        hits = texts.select("*", F.posexplode(_all_seeds(F.col("_hashes"), F.col("_n"), masks)).alias("_at", "_seed")).join(seeds, "_seed")
-        hits = hits.join(F.broadcast(mine.select("_item", "_item_id", "hashes", "n")), "_item")
-        place = _placed(F.col("_at"), F.col("_n"), masks)
-        best = _best_run(F.col("_hashes"), F.col("hashes"), place["j"] - F.col("_j"), run)
-        found.append(hits.select("_doc_id", "_item_id", "n", best.alias("best")))
+        hits = places.join(F.broadcast(_item_seeds(mine, families, masks, run)), "_seed")
+        hits = hits.join(F.broadcast(mine.select("_item", "_item_id", "_n_item", "hashes", "n")), "_item")
+        # all runs that hold the seed's tokens
+        first = F.greatest(F.col("_j") + F.get(spans, F.col("_by")) - run, F.lit(0))
+        around = F.slice(F.col("hashes"), first + 1, F.least(F.col("_j") + run, F.col("n")) - first)
+        best = _best_run(F.col("_hashes"), around, F.col("_i") - F.col("_j") + first, run)
+        found.append(hits.select("_doc_id", "_item_id", "_n_item", best.alias("best")))
     every = reduce(DataFrame.unionByName, found)
     # judged by pair, so that an alignment is laid out once for each hit and not again to filter by it
-    pairs = every.groupBy(F.col("_doc_id").alias("doc_id"), F.col("_item_id").alias("item_id")).agg(F.max("n").cast("long").alias("n_item_tokens"), F.max("best").cast("long").alias("n_agreeing"))
+    pairs = every.groupBy(F.col("_doc_id").alias("doc_id"), F.col("_item_id").alias("item_id")).agg(F.max("_n_item").cast("long").alias("n_item_tokens"), F.max("best").cast("long").alias("n_agreeing"))
     return pairs.where(F.col("n_agreeing") >= F.ceil(F.least(F.col("n_item_tokens"), F.lit(run)) * F.lit(agree)))
 
 

@@ -105,8 +105,8 @@ def test_leaks(spark, tmp_path):
     items = table(spark, tmp_path, "b", bench, "item_id long, text string", 1)
     frame = clashing(table(spark, tmp_path, "d", docs))
     wanted = {(20, 1), (21, 1), (None, 1), (20, 5), (21, 5), (None, 5), (24, 4)}
-    for per_block in (20_000, 2):
-        got = decontamination.leaks(frame, items, items_per_block=per_block).collect()
+    for per_block in (500_000, 20):
+        got = decontamination.leaks(frame, items, tokens_per_block=per_block).collect()
         assert {(r.doc_id, r.item_id) for r in got} == wanted and len(got) == len(wanted)
     kept = decontamination.without_leaks(frame, items)
     assert kept.columns == frame.columns
@@ -157,3 +157,14 @@ def test_leaks_of_short_items(spark, tmp_path):
         docs += [item[1:], item[:-1], item[2:], item[1:-1]]
     wanted = against_the_rule(spark, tmp_path, items, docs)
     assert {j for _, j in wanted} == set(items) and len(wanted) < len(docs)
+
+
+def test_leaks_of_long_items(spark, tmp_path):
+    """Items of several pieces, whole texts of over a MB, and counts against the rule."""
+    item = [f"i{k}" for k in range(400)]
+    far = ["x"] * 300_000
+    docs = [[*far, *replaced(item[a : a + 13], {1, 5}), *far[:9]] for a in (0, 17, 18, 19, 27, 387)] + [[*far, *replaced(item[30:43], {1, 5, 8})], item]
+    frame = table(spark, tmp_path, "d", [(i, " ".join(x)) for i, x in enumerate(docs)])
+    bench = table(spark, tmp_path, "b", [(7, " ".join(item))], "item_id long, text string", 1)
+    got = {r.doc_id: (r.n_item_tokens, r.n_agreeing) for r in decontamination.leaks(frame, bench, piece=30).collect()}
+    assert got == {i: (400, 11) for i in range(6)} | {7: (400, 13)}
