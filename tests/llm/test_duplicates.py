@@ -114,6 +114,40 @@ def test_classes(spark, tmp_path, corpus):
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_texts_whose_keys_collide(spark, tmp_path, monkeypatch, corpus):
+    docs, _ = corpus
+    df = table(spark, tmp_path, "d", docs)
+    wanted = sorted(map(tuple, near_dedup.classes(df).drop("group").collect()), key=str)
+    real = near_dedup.text_key
+    monkeypatch.setattr(near_dedup, "text_key", lambda text: F.pmod(real(text), F.lit(40)))
+    assert sorted(map(tuple, near_dedup.classes(df).drop("group").collect()), key=str) == wanted
+    monkeypatch.setattr(near_dedup, "COLLISIONS", 3)
+    assert near_dedup.deduplicated(df).count() == len({r[1] for r in wanted if r[0] not in (1, 2, 3)} | {1, 2, 3})
+
+
+def test_recall_of_scattered_replacements():
+    """Pairs of texts of 200 words at edit similarity 0.95 to 0.8: how many share a sketch."""
+    r = np.random.default_rng(5)
+    for similarity, least in ((0.95, 1.0), (0.9, 0.99), (0.85, 0.95), (0.8, 0.75)):
+        found = 0
+        for _ in range(100):
+            one = r.integers(0, 2**62, 200).astype(np.uint64)
+            two = one.copy()
+            two[r.choice(200, round(200 * (1 - similarity)), replace=False)] = r.integers(0, 2**62, round(200 * (1 - similarity))).astype(np.uint64)
+            assert near_dedup.similar([one], [two])[0]
+            x, y = (near_dedup.sketches(*near_dedup.labelled_kmers(w, np.array([200])))[0] for w in (one, two))
+            found += bool((x == y).any())
+        assert found >= 100 * least, (similarity, found)
+
+
+def test_shared_words():
+    r = random.Random(2)
+    texts = [np.array([r.randint(0, 8) for _ in range(r.randint(0, 12))], np.uint64) for _ in range(40)]
+    one, two = np.arange(0, 20), np.arange(20, 40)
+    wanted = [[sum((Counter(texts[a].tolist()) & Counter(texts[b].tolist())).values()) for b in two] for a in one]
+    assert near_dedup.shared_words(texts, one, two).tolist() == wanted
+
+
 def removed(texts, length, across=False, words=0, distinct=0):
     raw = [(t or "").encode() for t in texts]
     windows = [[b[i : i + length] for i in range(len(b) - length + 1)] for b in raw]
