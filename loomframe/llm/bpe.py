@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import cogrouped, grouped, narrow, table
+from .common import cogrouped, grouped, narrow, small_batches, table
 from .packing import pack, smallest, unpack
 from .textkernels import U, Words, gathered, prefix_hash, pretoken_starts, slices, span_hash
 
@@ -215,6 +215,7 @@ def encode(df: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     with open(vocabulary or vocabulary_file(), "rb") as f:
         content = f.read()
     pattern = pattern or _pattern()
+    small_batches(df.sparkSession)
     buckets = buckets or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType

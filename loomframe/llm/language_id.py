@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_remainder, narrow, table, with_fields
+from .common import id_remainder, narrow, small_batches, table, with_fields
 from .textkernels import slices
 
 WIDTHS = (2, 3, 4)
@@ -166,6 +166,7 @@ def predict(df: DataFrame, net: ByteConvNet, text_col: str = "text") -> DataFram
     df = df.drop("lang_pred", "score")
     if not net.languages:
         return df.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+    small_batches(df.sparkSession)
     quick, where = net.fast(), df.columns.index(text_col)
     schema = with_fields(df.schema, lang_pred="string", score="double")
 

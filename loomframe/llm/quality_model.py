@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, narrow, table, with_fields
+from .common import id_remainder, narrow, small_batches, table, with_fields
 from .textkernels import U, gram_hash, mixed, owner, prefix_hash, slices, span_hash, word_spans
 
 BUCKETS = 1 << 18
@@ -132,6 +132,7 @@ def predict(df: DataFrame, model: SubwordModel, text_col: str = "text") -> DataF
     Columns of ``df`` with these names are replaced.
     """
     df = df.drop("score", "predicted")
+    small_batches(df.sparkSession)
     shared, where = df.sparkSession.sparkContext.broadcast(model), df.columns.index(text_col)  # BUCKETS weights, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

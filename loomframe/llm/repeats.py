@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import cogrouped, grouped, narrow, stored, table
+from .common import cogrouped, grouped, narrow, small_batches, stored, table
 from .packing import pack, smallest, unpack
 from .textkernels import U, gathered, gram_hash, mixed, prefix_hash, slices, sliding_min, span_hash, word_spans
 
@@ -43,6 +43,7 @@ LENGTH = 400
 GRAM = 96
 GROUP = 20_000
 CHUNK_BYTES = 4 << 20
+PART_BYTES = 1 << 19
 _RANGE, _WHOLE, _WINDOW, _PLACES = 0, 1, 2, 3
 
 
@@ -103,7 +104,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Text]:
 def _in_slices(text: _Text) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(where the slice begins, its bytes, its offsets)."""
     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(text.offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(text.offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(text.data))])
-    for s in slices(column):
+    for s in slices(column, PART_BYTES):
         yield int(text.offsets[s.first]), s.data, s.offsets
 
 
@@ -449,10 +450,13 @@ def _wordy(data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.nda
     word, last = word_spans(data, offsets)
     lo, hi = np.searchsorted(word, start), np.searchsorted(last, end, "right")
     out = hi - lo >= words
-    if distinct > 1:
-        h = span_hash(prefix_hash(data), word, last)
-        for i in np.flatnonzero(out):
-            out[i] = len(np.unique(h[lo[i] : hi[i]])) >= distinct
+    for i in np.flatnonzero(out).tolist():
+        found: set[bytes] = set()
+        for j in range(lo[i], hi[i]):
+            if len(found) >= distinct:
+                break
+            found.add(data[word[j] : last[j]].tobytes())
+        out[i] = len(found) >= distinct
     return out
 
 
@@ -512,6 +516,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("gram must be 1 to length")
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(df.sparkSession)
     buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from .common import table, work_dir
+from .common import small_batches, table, work_dir
 from .textkernels import Words, gathered, pretoken_starts, slices
 
 END_ID = 2
@@ -132,6 +132,7 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, id_col: str =
     """
     with open(tokenizer or tokenizer_file(), encoding="utf-8") as f:
         content = f.read()
+    small_batches(df.sparkSession)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     # the row's place in the scan parts equal rows, so that many of them are not one task
