@@ -268,12 +268,19 @@ class HashIndex:
         return found
 
 
-def gathered(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The concatenation of values[start:start + length] over all pairs."""
+def gathered(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, at_once: int = 1 << 19) -> np.ndarray:
+    """The concatenation of values[start:start + length] over all pairs, made in parts of about ``at_once`` values."""
     lengths = lengths.astype(np.int64)
     ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype)
+    lo = 0
+    while lo < len(lengths):
+        begin = int(ends[lo] - lengths[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + at_once, "right")))
+        n, end = lengths[lo:hi], ends[lo:hi]
+        out[begin : int(end[-1])] = values[np.repeat(starts[lo:hi] - (end - n), n) + np.arange(begin, int(end[-1]))]
+        lo = hi
+    return out
 
 
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
