@@ -135,7 +135,7 @@ def crosstab_pct(df: DataFrame, col1: str, col2: str) -> DataFrame:
     text = {k: F.coalesce(named(c).cast("string"), F.lit("null")) for k, c in ((label, col1), ("__c", col2))}
     cells = df.groupBy(*(c.alias(k) for k, c in text.items())).agg(F.count(F.lit(1)).alias("__n"))
     wide = cells.groupBy(named(label)).pivot("__c").agg(F.sum("__n"))
-    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("__total")))
+    total = F.broadcast(cells.agg(F.sum("__n").alias("__total")))
     values = [c for c in wide.columns if c != label]
     shares = [F.round(F.coalesce(named(c), F.lit(0)) / F.col("__total") * 100, 2).alias(c) for c in values]
     return wide.crossJoin(total).select(named(label), *shares).orderBy(named(label))

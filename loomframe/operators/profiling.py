@@ -95,7 +95,7 @@ def value_counts(df: DataFrame, column: str, top_n: int = 20) -> DataFrame:
     require_frame(df)
     require_columns(df, column)
     counts = df.groupBy(named(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    total = df.agg(F.count(F.lit(1)).alias("__n"))
+    total = counts.agg(F.sum("count").alias("__n"))  # of the same counts, which are shuffled once
     rows = counts.orderBy(F.desc("count"), F.col("value").asc_nulls_last()).limit(top_n).crossJoin(F.broadcast(total))
     return rows.select("value", "count", F.round(F.col("count") / F.col("__n") * 100, 4).alias("pct")).orderBy(F.desc("count"), F.col("value").asc_nulls_last())
 

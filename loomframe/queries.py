@@ -6,6 +6,7 @@ both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import calendar, cleansing, display, features, learning, profiling
-from .sources import tables
+from .sources import files, runs, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -222,7 +223,7 @@ def detect_outliers_iqr(spark, sf_dir):
 OTHER = "(SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 13 <> 0 UNION ALL SELECT -o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 17 = 0)"
 
 
-@query(f"""WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 19 <> 0), b AS {OTHER}
+@query(f"""WITH a AS (SELECT o_orderkey, o_orderstatus FROM orders), b AS {OTHER}
 SELECT *, 'only_in_df1' AS diff_type, 'df1' AS source FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)
 UNION ALL SELECT *, 'only_in_df2', 'df2' FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)
 UNION ALL SELECT a.*, 'changed', 'df1' FROM a JOIN b USING (o_orderkey) WHERE a.o_orderstatus <> b.o_orderstatus
@@ -231,7 +232,7 @@ def compare_dataframes(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     other = orders.where("o_orderkey % 13 <> 0").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 11 == 0, "X").otherwise(F.col("o_orderstatus")))
     other = other.unionByName(orders.where("o_orderkey % 17 = 0").withColumn("o_orderkey", -F.col("o_orderkey")))
-    return profiling.compare_dataframes(orders.where("o_orderkey % 19 <> 0"), other, ["o_orderkey"])
+    return profiling.compare_dataframes(orders, other, ["o_orderkey"])
 
 
 @query("""SELECT * FROM (VALUES ('n_name', 'unchanged', 'string', 'string'), ('n_nationkey', 'type_changed', 'int', 'bigint'), ('n_regionkey', 'removed', 'int', NULL), ('n_note', 'added', NULL, 'string')) t(column_name, status, type_in_df1, type_in_df2)""")
@@ -297,13 +298,12 @@ def generate_date_spine(spark, sf_dir):
     return calendar.generate_date_spine(spark, "2024-01-01", "2024-03-01", "week")
 
 
-@query("""WITH d AS (SELECT event_type, ts::DATE AS date, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id % 50 = 0 GROUP BY ALL),
+@query("""WITH d AS (SELECT user_id, ts::DATE AS date, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL),
 spine AS (SELECT unnest(range(min(date), max(date) + 1, INTERVAL 1 DAY))::DATE AS date FROM d)
-SELECT p.event_type, s.date, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM spine s CROSS JOIN (SELECT DISTINCT event_type FROM d) p LEFT JOIN d USING (date, event_type)""")
+SELECT p.user_id, s.date, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM spine s CROSS JOIN (SELECT DISTINCT user_id FROM d) p LEFT JOIN d USING (date, user_id)""")
 def fill_date_gaps(spark, sf_dir):
-    thin = _table(spark, sf_dir, "events").where("event_id % 50 = 0")  # few enough events for days without any
-    daily = thin.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return calendar.fill_date_gaps(daily, "day", "event_type")
+    daily = _table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return calendar.fill_date_gaps(daily, "day", "user_id")
 
 
 @query("SELECT o_orderkey, (year(o_orderdate) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END)::INT AS fiscal_year FROM orders")
@@ -627,3 +627,165 @@ def scd_type2(spark, sf_dir):
     target = customer.withColumns({"effective_date": F.to_date(F.lit("2024-01-01")), "end_date": F.lit(None).cast("date"), "is_current": F.lit(True)})
     source = customer.where("c_custkey % 10 = 0").withColumn("c_mktsegment", F.lit("NEW")).unionByName(customer.where("c_custkey % 25 = 0").withColumn("c_custkey", -F.col("c_custkey") - 1))
     return tables.scd2(target, source, "c_custkey", ["c_mktsegment"], F.to_date(F.lit("2024-06-01")))
+
+
+# --- written and read back: tables, files, the run store
+
+def _name(what: str) -> str:
+    return f"loomframe_{what}_{uuid.uuid4().hex[:12]}"
+
+
+def _folder(spark: SparkSession, what: str) -> str:
+    """A new folder where the session keeps shared files."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/{_name(what)}"
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def write_table(spark, sf_dir):
+    orders, name = _table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), _name("orders")
+    tables.write_table(orders, name, partition_by="o_orderstatus")
+    tables.write_table(orders.where("o_orderstatus = 'F'"), name, "append", "o_orderstatus")
+    return tables.read_table_safe(spark, name)
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN c_mktsegment END AS c_mktsegment FROM customer")
+def read_csv_with_schema(spark, sf_dir):
+    path = _folder(spark, "csv")
+    files.write_to_volume(_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), path, "csv")
+    return files.read_csv_with_schema(spark, path, "c_custkey long, c_name string, c_mktsegment string", null_values=["BUILDING", "MACHINERY"])
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def read_files_from_volume(spark, sf_dir):
+    path = _folder(spark, "json")
+    files.write_to_volume(_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1), path, "json")
+    return files.read_files_from_volume(spark, path, "json")
+
+
+@query("SELECT s_suppkey, s_name FROM supplier UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def write_to_volume(spark, sf_dir):
+    rows, path = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), _folder(spark, "parquet")
+    for mode in ("overwrite", "append"):
+        files.write_to_volume(rows, path, "parquet", mode)
+    return files.read_files_from_volume(spark, path, "parquet")
+
+
+@query("""SELECT 'before' AS step, false AS is_there, NULL::BIGINT AS row_count, NULL::BIGINT AS column_count, '' AS partitioned_by
+UNION ALL SELECT 'created', true, count(*), 3, 'p_brand' FROM part UNION ALL SELECT 'created again', false, count(*), 3, 'p_brand' FROM part
+UNION ALL SELECT 'listed', true, 1, NULL, '' UNION ALL SELECT 'backup', true, count(*), 3, 'p_brand' FROM part""")
+def table_catalog(spark, sf_dir):
+    part, name = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), _name("part")
+
+    def described(step: str, is_there: bool, table: str) -> tuple:
+        info = tables.get_table_info(spark, table)
+        return step, is_there, info["row_count"], info["column_count"], ",".join(info["partitioned_by"])
+
+    rows = [("before", tables.table_exists(spark, name), None, None, "")]
+    for step in ("created", "created again"):
+        rows.append(described(step, tables.create_table_if_not_exists(spark, part, name, "p_brand", "parts, by brand"), name))
+    listed = tables.list_tables(spark, pattern=name)
+    rows.append(("listed", [t["name"] for t in listed] == [name], len(listed), None, ""))
+    copy = tables.backup_table(spark, name, "_copy")
+    rows.append(described("backup", tables.table_exists(spark, copy), copy))
+    return spark.createDataFrame(rows, "step string, is_there boolean, row_count long, column_count long, partitioned_by string")
+
+
+@query("SELECT p_partkey, p_name, p_brand FROM part")
+def backup_table(spark, sf_dir):
+    name = _name("part")
+    tables.write_table(_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), name, partition_by="p_brand")
+    return spark.table(tables.backup_table(spark, name, "_copy"))
+
+
+@query(ORACLE_SQL["merge_into"])
+def merge_into_table(spark, sf_dir):
+    customer, name = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), _name("customer")
+    tables.write_table(customer, name)
+    source = customer.where("c_custkey % 10 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    source = source.unionByName(customer.where("c_custkey % 25 = 0").withColumn("c_custkey", -F.col("c_custkey") - 1))
+    tables.merge_into(spark, name, source, "c_custkey")
+    return spark.table(name)
+
+
+@query("""SELECT c_custkey, c_mktsegment, NOT (c_custkey % 10 = 0 AND c_mktsegment <> 'NEW') AS is_current, c_custkey % 10 = 0 AND c_mktsegment <> 'NEW' AS is_closed FROM customer
+UNION ALL SELECT c_custkey, 'NEW', true, false FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT -c_custkey - 1, c_mktsegment, true, false FROM customer WHERE c_custkey % 25 = 0""")
+def scd_type2_table(spark, sf_dir):
+    customer, name = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), _name("dimension")
+    tables.write_table(customer.withColumns({"effective_date": F.to_date(F.lit("2024-01-01")), "end_date": F.lit(None).cast("date"), "is_current": F.lit(True)}), name)
+    source = customer.where("c_custkey % 10 = 0").withColumn("c_mktsegment", F.lit("NEW")).unionByName(customer.where("c_custkey % 25 = 0").withColumn("c_custkey", -F.col("c_custkey") - 1))
+    tables.scd_type2(spark, name, source, "c_custkey", ["c_mktsegment"])
+    return spark.table(name).select("c_custkey", "c_mktsegment", "is_current", F.col("end_date").isNotNull().alias("is_closed"))
+
+
+def _logged_regions(spark: SparkSession, sf_dir: str) -> str:
+    """A new run store with a run for each region, its key as a metric; the experiment."""
+    runs.set_store(_folder(spark, "runs"))
+    runs.setup_experiment("regions", {"kind": "test"})
+    for r in _table(spark, sf_dir, "region").orderBy("r_regionkey").collect():
+        runs.log_run(None, {"accuracy": r["r_regionkey"] / 10, "size": len(r["r_name"])}, {"name": r["r_name"]}, {"note.txt": r["r_name"]}, {"of": "region"}, None, r["r_name"], "regions")
+    return "regions"
+
+
+@query("""SELECT r_name AS run_name, r_regionkey / 10 AS accuracy, length(r_name)::DOUBLE AS size, 'region' AS tag, r_name AS note FROM region""")
+def log_run(spark, sf_dir):
+    experiment = _logged_regions(spark, sf_dir)
+    known = runs.runs().where(F.col("experiment_id") == runs.setup_experiment(experiment))
+    notes = runs._log("artifacts", runs._ARTIFACTS).select("run_id", F.col("content").alias("note"))
+    return known.join(notes, "run_id").select("run_name", F.col("metrics.accuracy").alias("accuracy"), F.col("metrics.size").alias("size"), F.col("tags.of").alias("tag"), "note")
+
+
+@query("""SELECT 'best' AS what, (SELECT r_name FROM region ORDER BY r_regionkey DESC LIMIT 1) AS value UNION ALL SELECT 'best by name length', (SELECT r_name FROM region ORDER BY length(r_name), r_regionkey DESC LIMIT 1)
+UNION ALL SELECT 'compared', count(*)::VARCHAR FROM region UNION ALL SELECT 'beyond three', greatest(0, count(*) - 3)::VARCHAR FROM region UNION ALL SELECT 'left', least(3, count(*))::VARCHAR FROM region""")
+def run_reports(spark, sf_dir):
+    experiment = _logged_regions(spark, sf_dir)
+    rows = [("best", runs.get_best_run(experiment)["run_name"]), ("best by name length", runs.get_best_run(experiment, metric="metrics.size", ascending=True)["run_name"])]
+    rows.append(("compared", str(len(runs.get_run_comparison(experiment)))))
+    rows.append(("beyond three", str(len(runs.cleanup_runs(experiment, keep_top_n=3, delete=True)))))
+    rows.append(("left", str(len(runs.get_run_comparison(experiment)))))
+    return spark.createDataFrame(rows, "what string, value string")
+
+
+@query("""SELECT * FROM (VALUES ('grid', NULL, 'a parent'), ('child', 0.5::DOUBLE, '1'), ('child', 0.75::DOUBLE, '2')) t(kind, metric, value)""")
+def log_grid_search(spark, sf_dir):
+    from types import SimpleNamespace
+
+    runs.set_store(_folder(spark, "runs"))
+    parent = runs.log_grid_search(SimpleNamespace(avgMetrics=[0.5, 0.75]), [{"depth": 1}, {"depth": 2}], "grids", "grid")
+    child = F.col("parent_run_id") == parent
+    return runs.runs().where(child | (F.col("run_id") == parent)).select(
+        F.when(child, "child").otherwise("grid").alias("kind"), F.col("metrics.avg_cv_metric").alias("metric"), F.when(child, F.col("params.depth")).otherwise("a parent").alias("value")
+    )
+
+
+@query("""SELECT 'snapshot_nations' AS run_name, count(*)::DOUBLE AS n_rows, 2 AS n_artifacts FROM nation""")
+def log_data_snapshot(spark, sf_dir):
+    runs.set_store(_folder(spark, "runs"))
+    run_id = runs.log_data_snapshot(_table(spark, sf_dir, "nation"), "nations", 10)
+    n = runs.artifacts(run_id).count()
+    return runs.runs().where(F.col("run_id") == run_id).select("run_name", F.col("metrics.rows").alias("n_rows"), F.lit(n).alias("n_artifacts"))
+
+
+def _saved_models(spark: SparkSession) -> None:
+    """A new run store with two versions of a model, the second the champion."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer
+
+    runs.set_store(_folder(spark, "runs"))
+    for factor in (2, 3):
+        stage = SQLTransformer(statement=f"SELECT *, CAST(label * {factor} AS DOUBLE) AS prediction FROM __THIS__")
+        runs.log_run_to_mlflow(Pipeline(stages=[stage]).fit(spark.range(1)), {"factor": factor}, {"factor": factor}, None, "multiples")
+    runs.promote_model("multiples")
+
+
+@query("SELECT o_orderkey, o_totalprice AS label, round(o_totalprice * 3, 4) AS prediction FROM orders")
+def batch_predict(spark, sf_dir):
+    _saved_models(spark)
+    return _rounded(learning.batch_predict("models:/multiples@champion", _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("label"))))
+
+
+@query("SELECT v::VARCHAR AS version, round(sqrt(avg((o_totalprice * v) ** 2)), 2) AS rmse, round(avg(abs(o_totalprice * v)), 2) AS mae FROM orders, (VALUES (1), (2)) t(v) GROUP BY v")
+def compare_model_versions(spark, sf_dir):
+    _saved_models(spark)
+    found = runs.compare_model_versions("multiples", 1, 2, _table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("label")), task="regression")
+    return spark.createDataFrame([(v, round(float(r["rmse"]), 2), round(float(r["mae"]), 2)) for v, r in found.iterrows()], "version string, rmse double, mae double")

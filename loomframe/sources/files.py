@@ -53,9 +53,9 @@ def _inferred(text: DataFrame) -> StructType:
 
 
 def read_files_from_volume(spark: SparkSession, volume_path: str, file_format: str = "csv", options: Mapping[str, str] | None = None) -> DataFrame:
-    """Files of a format; without options CSV has a header and an inferred schema and JSON may span lines."""
+    """Files of a format; without options CSV has a header and an inferred schema, and JSON is one record a line, as ``write_to_volume`` writes it."""
     require_choice(file_format.lower(), FORMATS, "file_format")
-    defaults = {"csv": {"header": "true", "inferSchema": "true"}, "json": {"multiLine": "true"}}
+    defaults = {"csv": {"header": "true", "inferSchema": "true"}}
     return spark.read.format(file_format.lower()).options(**(options or defaults.get(file_format.lower(), {}))).load(volume_path)
 
 

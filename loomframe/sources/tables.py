@@ -1,7 +1,8 @@
 """Catalog tables: reading, writing, upsert, slowly changing dimensions, copies.
 
-``merged`` and ``scd2`` are pure plans over DataFrames. The functions that change a table write the
-whole new version beside it and swap the names, so readers see the old or the new one.
+``merged`` and ``scd2`` are pure plans over DataFrames. The functions that change a table write its new
+version to a staging table first and then overwrite the rows of the table from there, so that its provider,
+place, comment, properties and partitioning stay; where the table's format has a MERGE of its own, that is used.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import uuid
 from collections.abc import Sequence
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.core import column_names, named, require_choice, require_columns, require_frame
@@ -152,27 +153,60 @@ def merged(target: DataFrame, source: DataFrame, merge_keys: str | Sequence[str]
     return out.unionByName(extra.select(*((named(c) if c in source.columns else F.lit(None)).cast(target.schema[c].dataType).alias(c) for c in target.columns)))
 
 
-def _swap(spark: SparkSession, df: DataFrame, table_name: str) -> None:
-    """Replaces the rows of a table by a plan that may read it."""
+def provider(spark: SparkSession, table_name: str) -> str:
+    """The format of a table in lower case, empty where the catalog doesn't say."""
+    detail = spark.sql(f"DESCRIBE EXTENDED {quoted(table_name)}").where("col_name = 'Provider'").first()
+    return detail["data_type"].lower() if detail else ""
+
+
+def merge_statement(table_name: str, source_view: str, columns: Sequence[str], source_columns: Sequence[str], keys: Sequence[str], update_columns: Sequence[str], insert_all: bool) -> str:
+    """``merged`` as a MERGE statement, for formats that have it."""
+    q = lambda c: "`" + c.replace("`", "``") + "`"
+    out = [f"MERGE INTO {quoted(table_name)} AS t USING {quoted(source_view)} AS s ON " + " AND ".join(f"t.{q(k)} = s.{q(k)}" for k in keys)]
+    if update_columns:
+        out.append("WHEN MATCHED THEN UPDATE SET " + ", ".join(f"t.{q(c)} = s.{q(c)}" for c in update_columns))
+    if insert_all:
+        known = [c for c in columns if c in source_columns]
+        out.append(f"WHEN NOT MATCHED THEN INSERT ({', '.join(map(q, known))}) VALUES ({', '.join('s.' + q(c) for c in known)})")
+    return " ".join(out)
+
+
+def _replace_rows(spark: SparkSession, df: DataFrame, table_name: str) -> None:
+    """Replaces the rows of a table by a plan that may read it.
+
+    Provider, location, comment, properties and partitioning stay. The new rows are complete in a
+    staging table before the table is touched; if the overwrite itself fails, the staging table is
+    left and named in the error. On formats without transactions a reader may meet the overwrite.
+    """
     staging = f"{table_name}__staging_{uuid.uuid4().hex[:8]}"
-    keys = _partitions(spark, table_name)
-    write_table(df, staging, "error", keys, optimize_after=False)
-    old = f"{table_name}__old_{uuid.uuid4().hex[:8]}"
-    spark.sql(f"ALTER TABLE {quoted(table_name)} RENAME TO {quoted(old)}")
+    write_table(df, staging, "error", optimize_after=False)
+    rows = spark.table(staging).select(*map(named, spark.table(table_name).columns))
     try:
-        spark.sql(f"ALTER TABLE {quoted(staging)} RENAME TO {quoted(table_name)}")
-    except Exception:
-        spark.sql(f"ALTER TABLE {quoted(old)} RENAME TO {quoted(table_name)}")
-        raise
-    spark.sql(f"DROP TABLE {quoted(old)}")
+        rows.write.option("partitionOverwriteMode", "static").insertInto(table_name, overwrite=True)
+    except Exception as e:
+        raise RuntimeError(f"{table_name} could not be overwritten; its new rows are in {staging}") from e
+    spark.sql(f"DROP TABLE {quoted(staging)}")
     spark.catalog.refreshTable(table_name)
 
 
 def merge_into(spark: SparkSession, target_table: str, source_df: DataFrame, merge_keys: str | Sequence[str], update_columns: Sequence[str] | None = None, insert_all: bool = True) -> None:
-    """``merged`` written back to the table."""
-    if not column_names(merge_keys):
+    """``merged`` written back to the table, by the MERGE of its format (Delta, Iceberg, Hudi) or by overwriting its rows."""
+    keys = column_names(merge_keys)
+    if not keys:
         raise ValueError("merge_keys must not be empty")
-    _swap(spark, merged(spark.table(target_table), source_df, merge_keys, update_columns, insert_all), target_table)
+    target = spark.table(target_table)
+    if provider(spark, target_table) in ("delta", "iceberg", "hudi"):
+        require_columns(source_df, keys)
+        require_columns(target, keys)
+        changed = [c for c in source_df.columns if c not in keys and c in target.columns] if update_columns is None else require_columns(source_df, update_columns)
+        view = f"loomframe_source_{uuid.uuid4().hex[:8]}"
+        source_df.createOrReplaceTempView(view)
+        try:
+            spark.sql(merge_statement(target_table, view, target.columns, source_df.columns, keys, changed, insert_all))
+        finally:
+            spark.catalog.dropTempView(view)
+        return
+    _replace_rows(spark, merged(target, source_df, keys, update_columns, insert_all), target_table)
 
 
 def scd2(
@@ -189,7 +223,8 @@ def scd2(
 
     Current rows whose tracked columns differ from the source's are closed as of ``as_of`` (today in
     UTC), a new current row is opened for them and for keys without a current row; all else stays.
-    Null keys match nothing and open rows. The target is read once, the source twice.
+    Null keys match nothing and open rows. Equal source rows count once; several different ones for one key
+    fail the query. The target and the source are read twice.
     """
     keys = require_columns(source, key_columns)
     require_columns(source, tracked_columns)
@@ -197,7 +232,13 @@ def scd2(
     day = F.lit(as_of) if isinstance(as_of, str) else as_of if as_of is not None else F.to_date(F.lit(datetime.now(UTC).date().isoformat()))
     kinds = {f.name: f.dataType for f in target.schema.fields}
     current = target.where(named(current_flag_col))
-    s = source.select(*map(named, [*keys, *tracked_columns])).distinct().withColumn("__hit", F.lit(True))
+    complete = F.lit(True)
+    for k in keys:
+        complete = complete & named(k).isNotNull()
+    source = source.distinct().withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*map(named, keys))))
+    ambiguous = F.raise_error(F.lit("several source rows for one key")).cast("boolean")
+    source = source.where(F.when(complete & (F.col("__n") > 1), ambiguous).otherwise(F.lit(True)))
+    s = source.where(complete).select(*map(named, [*keys, *tracked_columns])).withColumn("__hit", F.lit(True))
     differ = F.lit(False)
     for c in tracked_columns:
         differ = differ | ~F.col(f"t.`{c}`").eqNullSafe(F.col(f"s.`{c}`"))
@@ -228,4 +269,4 @@ def scd_type2(
     """``scd2`` written back to the table, in one step."""
     if not table_exists(spark, target_table):
         raise ValueError(f"table {target_table} does not exist")
-    _swap(spark, scd2(spark.table(target_table), source_df, key_columns, tracked_columns, None, effective_date_col, end_date_col, current_flag_col), target_table)
+    _replace_rows(spark, scd2(spark.table(target_table), source_df, key_columns, tracked_columns, None, effective_date_col, end_date_col, current_flag_col), target_table)

@@ -133,3 +133,46 @@ def test_api_has_every_operator():
     from loomframe import api
 
     assert len(api.__all__) == 92 and all(getattr(api, n).__doc__ for n in api.__all__)
+
+
+def test_json_lines_of_many_rows(spark, tmp_path):
+    files.write_to_volume(spark.range(5).coalesce(1), str(tmp_path / "lines"), "json")
+    assert files.read_files_from_volume(spark, str(tmp_path / "lines"), "json").count() == 5
+
+
+def test_scd2_refuses_ambiguous_keys(spark):
+    target = spark.createDataFrame([(1, "a", "2024-01-01", None, True)], "id long, tier string, effective_date string, end_date string, is_current boolean")
+    twice = spark.createDataFrame([(1, "b"), (1, "c")], "id long, tier string")
+    with pytest.raises(Exception, match="several source rows"):
+        tables.scd2(target, twice, "id", ["tier"], F.lit("2024-02-01")).collect()
+    with pytest.raises(Exception, match="several source rows"):
+        tables.scd2(target, spark.createDataFrame([(7, "b"), (7, "c")], "id long, tier string"), "id", ["tier"], F.lit("2024-02-01")).collect()
+    equal = spark.createDataFrame([(1, "b"), (1, "b"), (7, "x"), (7, "x"), (None, "n"), (None, "m")], "id long, tier string")
+    out = tables.scd2(target, equal, "id", ["tier"], F.lit("2024-02-01"))
+    got = sorted((str(r.id), r.tier, r.is_current) for r in out.collect())
+    assert got == [("1", "a", False), ("1", "b", True), ("7", "x", True), ("None", "m", True), ("None", "n", True)]
+
+
+def test_changed_tables_keep_what_they_are(spark, tmp_path):
+    spark.sql("DROP TABLE IF EXISTS kept_t")
+    spark.sql(f"CREATE TABLE kept_t (id BIGINT, v STRING, day STRING) USING orc PARTITIONED BY (day) COMMENT 'of ours' LOCATION '{tmp_path / 'kept'}' TBLPROPERTIES ('owner.team' = 'x')")
+    spark.sql("INSERT INTO kept_t VALUES (1, 'a', 'mo'), (2, 'b', 'tu')")
+    tables.merge_into(spark, "kept_t", spark.createDataFrame([(2, "B", "we"), (3, "c", "mo")], "id long, v string, day string"), "id")
+    assert sorted(map(tuple, spark.table("kept_t").collect())) == [(1, "a", "mo"), (2, "B", "we"), (3, "c", "mo")]
+    detail = {r["col_name"]: r["data_type"] for r in spark.sql("DESCRIBE EXTENDED kept_t").collect()}
+    assert detail["Provider"].lower() == "orc" and detail["Comment"] == "of ours" and detail["Location"].endswith("kept") and "owner.team" in detail["Table Properties"]
+    assert tables.get_table_info(spark, "kept_t")["partitioned_by"] == ["day"]
+    assert not [t for t in tables.list_tables(spark, pattern="kept_t__*")]
+
+
+def test_merge_statement():
+    got = tables.merge_statement("db.t", "s", ["id", "a", "b", "only_t"], ["id", "a", "b"], ["id"], ["a", "b"], True)
+    assert got == "MERGE INTO `db`.`t` AS t USING `s` AS s ON t.`id` = s.`id` WHEN MATCHED THEN UPDATE SET t.`a` = s.`a`, t.`b` = s.`b` WHEN NOT MATCHED THEN INSERT (`id`, `a`, `b`) VALUES (s.`id`, s.`a`, s.`b`)"
+
+
+def test_models_without_a_writer_are_refused(spark, tmp_path):
+    runs.set_store(str(tmp_path / "store"))
+    with pytest.raises(TypeError, match="no Spark ML writer"):
+        runs.log_run(object(), {"a": 1.0}, model_name="m")
+    assert runs.runs().count() == 0
+    runs.set_store(None)
