@@ -6,12 +6,13 @@ Texts that share a sketch are candidates; a candidate is verified by the edit di
 sequences, computed in a diagonal band that widens until it holds the answer: similar means
 ``1 - distance / longer length >= 0.8``.
 
-Equal texts are one text from the start. Every text of a bucket is held against the bucket's least key;
-texts that differ from it are bucketed again by that sketch and the next one together, where they have
-another least key, and so on with one more sketch in each round (by FORK ways once) until no text is left that differs from
-the least key of its bucket. So a bucket costs work by its size in each round, never by the square, and
-texts that are alike without being similar part on the way, while similar ones stay together longest.
-Classes are the connected components of all links, found by alternating star contractions.
+Equal texts are one text from the start. First every text of a bucket is held against the bucket's least
+key, which joins most of what is similar by a few links a text. Then nothing is left open: in every bucket
+whose texts are not yet of one component, all pairs of texts of different components are decided. The texts of
+a bucket meet in one worker (of a large bucket: two blocks of them at a time, of lengths that can be similar),
+which drops pairs by length and by counts of hashed words before it aligns any; so rows grow with the
+members of buckets, not with their pairs. Classes are the connected components of all similar pairs that share a
+sketch, found by alternating star contractions.
 
 Texts are known by a 64-bit hash; texts whose hashes collide get others by their MD5 first, so that equal
 keys mean equal texts.
@@ -27,14 +28,17 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, narrow, small_batches, stored, table
+from .common import forget, grouped, narrow, small_batches, stored, table
 from .textkernels import LOWER, U, mixed, owner, prefix_hash, slices, span_hash
 
 WORDS = 5
 SKETCHES = 48
 KEPT = 2
 SIMILARITY = 0.8
-FORK = 2
+HASHED = 128
+BLOCK = 1 << 18
+EACH = 100
+RATIO = 1.26
 COLLISIONS = 100_000
 SEEN = 1 << 20
 
@@ -123,11 +127,13 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = batch.column(0).to_numpy()
         for s in slices(batch.column(1)):
             words, of = tokens(s.data, s.offsets)
-            x, number = labelled_kmers(words, np.bincount(of, minlength=s.last - s.first))
+            n = np.bincount(of, minlength=s.last - s.first)
+            x, number = labelled_kmers(words, n)
             sig = sketches(x, number)
             mine = np.repeat(key[s.first : s.last][number > 0], sig.shape[1])
             at = np.tile(np.arange(sig.shape[1], dtype=np.int8), len(sig))
-            yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(at), pa.array(sig.ravel().view(np.int64))], names=["key", "at", "sig"])
+            n = np.repeat(n[number > 0].astype(np.int32), sig.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(at), pa.array(sig.ravel().view(np.int64)), pa.array(n)], names=["key", "at", "sig", "n"])
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +187,11 @@ def banded_distances(a: list[np.ndarray], b: list[np.ndarray], band: int) -> np.
     return out
 
 
+def _most(longer: np.ndarray) -> np.ndarray:
+    """The edits that similar texts of this length may have."""
+    return ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
+
+
 def similar(a: list[np.ndarray], b: list[np.ndarray], least: float = SIMILARITY) -> np.ndarray:
     """Whether ``1 - distance / longer >= least`` for each pair of word sequences."""
     out = np.zeros(len(a), bool)
@@ -245,6 +256,59 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
 
+def _settled(rows: pa.Table) -> pa.Table:
+    """Of bucket members (sig, i, j, block, at, key, root, sigs, packed): the (a, b) of roots with similar texts.
+
+    All texts of block i are held against all of block j of a bucket, a pair under one of its common sketches
+    only, drawn by its keys so that no bucket gets them all, and only while its roots are not linked yet.
+    """
+    rows = rows.combine_chunks()
+    sig, i, j, block, at, key, root = (rows[c].to_numpy() for c in ("sig", "i", "j", "block", "at", "key", "root"))
+    drawn, first, text = np.unique(key.view(U), return_index=True, return_inverse=True)
+    sigs = np.array(rows["sigs"].take(pa.array(first)).to_pylist(), np.int64)
+    words = _words(rows["packed"].take(pa.array(first)).to_pylist())
+    size = np.array([len(w) for w in words])
+    of = np.repeat(np.arange(len(words)), size) * HASHED + ((np.concatenate(words) >> U(17)) % U(HASHED)).astype(np.int64)
+    hashed = np.bincount(of, minlength=len(words) * HASHED).astype(np.int32).reshape(-1, HASHED)
+    names, group = np.unique(root, return_inverse=True)
+    up, found = np.arange(len(names)), []
+    order = np.lexsort((j, i, sig))
+    new = np.flatnonzero((np.diff(sig[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+    for mine in np.split(order, new):
+        one, two = mine[block[mine] == i[mine]], mine[block[mine] == j[mine]]
+        inside = i[mine[0]] == j[mine[0]]
+        step = max(1, (1 << 20) // max(1, len(two)))
+        for lo in range(0, len(one), step):
+            x = one[lo : lo + step]
+            apart = up[group[x]][:, None] != up[group[two]][None, :]
+            p, q = size[text[x]][:, None], size[text[two]][None, :]
+            apart &= np.abs(p - q) <= _most(np.maximum(p, q))
+            if inside:
+                apart &= np.arange(lo, lo + len(x))[:, None] < np.arange(len(two))[None, :]
+            x, y = (v[k] for v, k in zip((x, two), np.nonzero(apart), strict=True))
+            left = []
+            for k in range(0, len(x), 4096):
+                p, q = text[x[k : k + 4096]], text[y[k : k + 4096]]
+                longer = np.maximum(size[p], size[q])
+                # no fewer than the words that both have
+                common = np.minimum(hashed[p], hashed[q]).sum(axis=1)
+                ok = np.flatnonzero(longer - common <= _most(longer))
+                p, q = p[ok], q[ok]
+                turn = (mixed(drawn[p] ^ drawn[q]) % U(sigs.shape[1])).astype(np.int64)[:, None]
+                further = np.where(sigs[p] == sigs[q], (np.arange(sigs.shape[1]) - turn) % sigs.shape[1], sigs.shape[1])
+                left.append(k + ok[further.argmin(axis=1) == at[x[k + ok]]])
+            left = np.concatenate(left) if left else np.empty(0, np.int64)
+            while len(left):
+                left = left[up[group[x[left]]] != up[group[y[left]]]]
+                now, left = left[:64], left[64:]
+                same = similar([words[t] for t in text[x[now]]], [words[t] for t in text[y[now]]])
+                for a, b in zip(group[x[now[same]]].tolist(), group[y[now[same]]].tolist(), strict=True):
+                    if up[a] != up[b]:
+                        found.append((names[a], names[b]))
+                        up[up == up[a]] = up[b]
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
 # --- components
 
 def components(edges: DataFrame) -> DataFrame:
@@ -299,53 +363,71 @@ def _keyed(rows: DataFrame, text_col: str, key_col: str) -> DataFrame:
 
 
 def _candidates(members: DataFrame) -> DataFrame:
-    """(bucket, key, least key of the bucket, other columns) for all keys but the least."""
-    least = members.groupBy("sig").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").drop("most")
+    """(bucket, key, least key of the bucket and its words, other columns) for all keys but the least."""
+    least = members.groupBy("sig").agg(F.min(F.struct("key", "n")).alias("l"), F.max("key").alias("most")).where("l.key <> most")
+    least = least.select("sig", F.col("l.key").alias("least"), F.col("l.n").alias("least_n"))
     return members.join(least, "sig").where("key <> least")
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """Verified pairs (a, b) of keys of similar texts, for a table (key, text) with any number of copies."""
+def roots(texts: DataFrame) -> DataFrame:
+    """(key, root) of keys of texts that are similar to another, for a table (key, text) with any number of copies."""
     small_batches(texts.sparkSession)
-    members = stored(texts.mapInArrow(narrow(_sketched), "key long, at tinyint, sig long"), "sketches")
+    members = stored(texts.mapInArrow(narrow(_sketched), "key long, at tinyint, sig long, n int"), "sketches")
     first = stored(_candidates(members), "candidates")
     pairs = stored(first.select(F.col("key").alias("a"), F.col("least").alias("b")).distinct(), "pairs")
     # only texts that are in a pair go on, one copy each
     asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     packed = texts.mapInArrow(narrow(_squeezed), "key long, packed binary").join(asked.hint("merge"), "key", "left_semi")
     packed = stored(packed.groupBy("key").agg(F.first("packed").alias("packed")), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        one = packed.select(F.col("key").alias("a"), F.col("packed").alias("packed_a"))
-        two = packed.select(F.col("key").alias("b"), F.col("packed").alias("packed_b"))
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "packed_a", "packed_b")
-        return stored(both.mapInArrow(narrow(_verified), "a long, b long"), "links")
-
-    good, tried = verified(pairs), pairs
-    failed = _unlinked(first, good)
-    asked = failed.select("key").distinct()
+    one = packed.select(F.col("key").alias("a"), F.col("packed").alias("packed_a"))
+    two = packed.select(F.col("key").alias("b"), F.col("packed").alias("packed_b"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "packed_a", "packed_b")
+    found = stored(components(stored(both.mapInArrow(narrow(_verified), "a long, b long"), "links")), "roots")
+    # links between components join these; a key that had none is its own
+    rest = components(_rest(members, first, packed, found))
+    known = found.join(rest.select(F.col("key").alias("root"), F.col("root").alias("_root")), "root", "left")
+    return known.select("key", F.coalesce("_root", "root").alias("root")).unionByName(rest.join(found, "key", "left_anti").select("key", "root"))
+
+
+def _rest(members: DataFrame, first: DataFrame, packed: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) between the components ``found``, such that all similar texts that share a bucket are of one."""
+    inside = first.select("sig", "at", "key", "n").unionByName(first.select("sig", "at", F.col("least").alias("key"), F.col("least_n").alias("n"))).distinct()
+    inside = inside.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    inside = stored(inside.select("sig", "at", "key", "root", "n", (F.col("n") + EACH).cast("long").alias("weight")), "buckets")
+    split = inside.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    left = stored(inside.join(split.hint("merge"), "sig", "left_semi"), "open")
+    asked = left.select("key").distinct()
     sigs = members.join(asked.hint("merge"), "key", "left_semi").groupBy("key").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "sig"))), lambda x: x["sig"]).alias("sigs"))
-    sigs = stored(sigs, "sigs")
-    for n in range(1, SKETCHES):
-        # texts that two sketches in a row leave beside another go on by FORK further ones each
-        forks = range(1, FORK + 1) if n == 2 else (1,)
-        # one row a text goes through the join: its buckets are a list of at most SKETCHES x FORK
-        lists = failed.groupBy("key").agg(F.collect_list(F.struct("at", "sig")).alias("failed")).join(sigs, "key")
-        further = F.flatten(F.transform("failed", lambda f: F.array(*(F.struct(F.pmod(f["at"] + k, F.lit(SKETCHES)).cast("tinyint").alias("at"), f["sig"].alias("sig")) for k in forks))))
-        again = lists.select("key", "sigs", F.explode(further).alias("f"))
-        again = again.select("key", "f.at", F.xxhash64("f.sig", F.get("sigs", F.col("f.at"))).alias("sig"))
-        again = stored(_candidates(again.distinct()), "again")
-        if again.isEmpty():
-            break
-        more = stored(again.select(F.col("key").alias("a"), F.col("least").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        good, tried = stored(good.unionByName(verified(more)), "links"), stored(tried.unionByName(more), "tried")
-        failed = _unlinked(again, good)
-    return good
+    buckets = stored(left.groupBy("sig").agg(F.sum("weight").alias("total")), "weights")
+    weight = buckets.agg(F.sum(F.when(F.col("total") <= 2 * BLOCK, F.col("total")))).first()[0]
+    here, number = F.lit(0).cast("long"), max(1, -(-(weight or 0) // BLOCK))
+    whole = left.join(buckets.where(F.col("total") <= 2 * BLOCK), "sig", "left_semi")
+    whole = whole.select("sig", "at", "key", "root", F.pmod(F.xxhash64("sig"), F.lit(number)).alias("group"), here.alias("block"), here.alias("i"), here.alias("j"))
+    each = whole.unionByName(_blocks(left.join(buckets.where(F.col("total") > 2 * BLOCK), "sig", "left_semi")))
+    each = each.join(stored(sigs.join(packed, "key"), "open-texts"), "key")
+    return stored(each.groupBy("group").applyInArrow(grouped(_settled), "a long, b long"), "rest")
 
 
-def _unlinked(candidates: DataFrame, good: DataFrame) -> DataFrame:
-    """Texts that are not similar to the least key of a bucket, by bucket."""
-    return candidates.join(good, (candidates["key"] == good["a"]) & (candidates["least"] == good["b"]), "left_anti").select("key", "at", "sig")
+def _blocks(large: DataFrame) -> DataFrame:
+    """The members of large buckets, once for each pair (i, j) of blocks that they are in.
+
+    Blocks hold texts of like length, and those of a bucket's largest component are apart: texts of lengths that
+    differ by more than RATIO twice can't be similar, and a component isn't held against itself.
+    """
+    usual = large.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("usual"))
+    slot = F.floor(F.log("n") / F.log(F.lit(RATIO))).cast("long") * 2 + (F.col("root") == F.col("usual")).cast("long")
+    large = large.join(usual, "sig").withColumn("slot", slot)
+    blocks = large.groupBy("sig", "slot").agg(F.ceil(F.sum("weight") / BLOCK).cast("long").alias("blocks"))
+    blocks = blocks.groupBy("sig").agg(F.map_from_entries(F.collect_list(F.struct("slot", "blocks"))).alias("blocks"))
+    large = large.join(blocks, "sig")
+    wide = F.lit(1 << 32)
+    block = F.col("slot") * wide + F.pmod(F.xxhash64("key"), F.col("blocks")[F.col("slot")])
+    level = F.floor(F.col("slot") / 2).cast("long")
+    near = F.filter(F.map_keys("blocks"), lambda s: (F.abs(F.floor(s / 2).cast("long") - level) <= 1) & (F.pmod(s, F.lit(2)) + F.pmod("slot", F.lit(2)) < 2))
+    others = F.flatten(F.transform(near, lambda s: F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks")[s] - 1), lambda k: s * wide + k)))
+    large = large.withColumn("block", block).select("sig", "at", "key", "root", "block", F.explode(others).alias("other"))
+    large = large.select("sig", "at", "key", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return large.select("sig", "at", "key", "root", F.xxhash64("sig", "i", "j").alias("group"), "block", "i", "j")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,10 +439,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     by one. An empty table gives an empty result. Extra columns aren't read.
     """
     rows = _keyed(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", "key")
-    joined = stored(links(rows.where("key is not null").select("key", "text")), "all-links")
-    roots = components(joined)
+    found = roots(rows.where("key is not null").select("key", "text"))
     rows = rows.drop("text")
-    rows = rows.join(roots, "key", "left").select("doc_id", F.coalesce("root", "key").alias("group"))
+    rows = rows.join(found, "key", "left").select("doc_id", F.coalesce("root", "key").alias("group"))
     each = rows.where("`group` is not null").groupBy("group").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_n"))
     # written first, so that both sides of the join are plain shuffles and Spark can split a large class
     rows = rows.join(stored(each, "classes"), "group", "left")
@@ -377,9 +458,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     rows = _keyed(rows, "text", "_key")
     texts = rows.where("_key is not null").select(F.col("_key").alias("key"), "text")
-    roots = components(stored(links(texts), "all-links"))
     small = rows.where("_key is not null").select(F.col("_key").alias("key"), "_id")
-    small = small.join(roots, "key", "left").withColumn("group", F.coalesce("root", "key"))
+    small = small.join(roots(texts), "key", "left").withColumn("group", F.coalesce("root", "key"))
     best = small.groupBy("group").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "key")).alias("b"))
     keep = best.select(F.col("b.key").alias("_k"), F.col("b._id").alias("_i"))
     kept = rows.where("_key is not null").select("_row", "_id", "_key")

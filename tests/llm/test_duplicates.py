@@ -277,3 +277,35 @@ def test_template_family_leaves_hardly_a_pair_open(spark, tmp_path):
 def packed(words):
     data = np.frombuffer(" ".join(words).encode(), np.uint8)
     return data, np.array([0, len(data)])
+
+
+@pytest.mark.parametrize("block", [None, 3000])
+def test_no_similar_pair_of_a_bucket_is_lost(spark, tmp_path, monkeypatch, block):
+    """Families that share a template and are just not similar, of several lengths: classes are the components of all similar pairs that share a sketch."""
+    if block and hasattr(near_dedup, "BLOCK"):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r = random.Random(31)
+    fresh = lambda n: [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+    texts = []
+    for length in (70, 111, 140):
+        template = fresh(length)
+        for _ in range(150):
+            words = template + fresh(r.randint(length * 26 // 100, length * 29 // 100))
+            texts.append(words)
+            if r.random() < 0.3:
+                texts.append([f"t{r.randint(0, 10**9)}" if r.random() < 0.12 else w for w in words])
+    texts += [["only"], ["only", "two"], ["x"] * 90, ["x"] * 100, ["x"] * 300]
+    df = table(spark, tmp_path, "d", [(i, " ".join(w)) for i, w in enumerate(texts)])
+    found = {x.doc_id: x.class_id for x in near_dedup.classes(df).collect()}
+    number = np.unique([w for t in texts for w in t], return_inverse=True)[1].astype(np.uint64) * np.uint64(2)
+    ids = np.split(number, np.cumsum([len(t) for t in texts])[:-1])
+    drawn = np.stack([near_dedup.sketches(*near_dedup.labelled_kmers(words, np.array([len(words)])))[0] for words in (near_dedup.tokens(*packed(w))[0] for w in texts)])
+    pairs = [(a, b) for a in range(len(texts)) for b in np.flatnonzero((drawn[:a] == drawn[a]).any(axis=1)).tolist()]
+    same = near_dedup.similar([ids[a] for a, _ in pairs], [ids[b] for _, b in pairs])
+    wanted = list(range(len(texts)))
+    for (a, b), ok in zip(pairs, same, strict=True):
+        if ok and wanted[a] != wanted[b]:
+            lo, hi = sorted((wanted[a], wanted[b]))
+            wanted = [lo if w == hi else w for w in wanted]
+    assert len(pairs) > 20_000 and same.sum() > 60
+    assert found == dict(enumerate(wanted))
