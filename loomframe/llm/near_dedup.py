@@ -394,16 +394,18 @@ def _rest(members: DataFrame, first: DataFrame, packed: DataFrame, found: DataFr
     inside = first.select("sig", "at", "key", "n").unionByName(first.select("sig", "at", F.col("least").alias("key"), F.col("least_n").alias("n"))).distinct()
     inside = inside.join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
     inside = stored(inside.select("sig", "at", "key", "root", "n", (F.col("n") + EACH).cast("long").alias("weight")), "buckets")
-    split = inside.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    left = stored(inside.join(split.hint("merge"), "sig", "left_semi"), "open")
+    # all that is asked of a bucket goes to its members by one join
+    split = inside.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+    split = split.groupBy("sig").agg(F.count(F.lit(1)).alias("roots"), F.sum("weight").alias("total"), F.max_by("root", F.struct("n", "root")).alias("usual"))
+    split = split.where("roots > 1").select("sig", "total", "usual")
+    left = stored(inside.join(split.hint("merge"), "sig"), "open")
     asked = left.select("key").distinct()
     sigs = members.join(asked.hint("merge"), "key", "left_semi").groupBy("key").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "sig"))), lambda x: x["sig"]).alias("sigs"))
-    buckets = stored(left.groupBy("sig").agg(F.sum("weight").alias("total")), "weights")
-    weight = buckets.agg(F.sum(F.when(F.col("total") <= 2 * BLOCK, F.col("total")))).first()[0]
+    small = F.col("total") <= 2 * BLOCK
+    weight = left.where(small).agg(F.sum("weight")).first()[0]
     here, number = F.lit(0).cast("long"), max(1, -(-(weight or 0) // BLOCK))
-    whole = left.join(buckets.where(F.col("total") <= 2 * BLOCK), "sig", "left_semi")
-    whole = whole.select("sig", "at", "key", "root", F.pmod(F.xxhash64("sig"), F.lit(number)).alias("group"), here.alias("block"), here.alias("i"), here.alias("j"))
-    each = whole.unionByName(_blocks(left.join(buckets.where(F.col("total") > 2 * BLOCK), "sig", "left_semi")))
+    whole = left.where(small).select("sig", "at", "key", "root", F.pmod(F.xxhash64("sig"), F.lit(number)).alias("group"), here.alias("block"), here.alias("i"), here.alias("j"))
+    each = whole.unionByName(_blocks(left.where(~small)))
     each = each.join(stored(sigs.join(packed, "key"), "open-texts"), "key")
     return stored(each.groupBy("group").applyInArrow(grouped(_settled), "a long, b long"), "rest")
 
@@ -414,9 +416,8 @@ def _blocks(large: DataFrame) -> DataFrame:
     Blocks hold texts of like length, and those of a bucket's largest component are apart: texts of lengths that
     differ by more than RATIO twice can't be similar, and a component isn't held against itself.
     """
-    usual = large.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.max_by("root", F.struct("n", "root")).alias("usual"))
     slot = F.floor(F.log("n") / F.log(F.lit(RATIO))).cast("long") * 2 + (F.col("root") == F.col("usual")).cast("long")
-    large = large.join(usual, "sig").withColumn("slot", slot)
+    large = large.withColumn("slot", slot)
     blocks = large.groupBy("sig", "slot").agg(F.ceil(F.sum("weight") / BLOCK).cast("long").alias("blocks"))
     blocks = blocks.groupBy("sig").agg(F.map_from_entries(F.collect_list(F.struct("slot", "blocks"))).alias("blocks"))
     large = large.join(blocks, "sig")

@@ -309,3 +309,38 @@ def test_no_similar_pair_of_a_bucket_is_lost(spark, tmp_path, monkeypatch, block
             wanted = [lo if w == hi else w for w in wanted]
     assert len(pairs) > 20_000 and same.sum() > 60
     assert found == dict(enumerate(wanted))
+
+
+@pytest.mark.parametrize("block", [None, 2000])
+def test_members_of_open_buckets_are_joined_once(spark, tmp_path, monkeypatch, block):
+    """Joins by bucket make each candidate once, each member of an open bucket once, and those of large buckets once more."""
+    if block:
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+    r = random.Random(17)
+    fresh = lambda n: [f"w{r.randint(0, 10**9)}" for _ in range(n)]
+    template = fresh(110)
+    texts = [template + fresh(30) for _ in range(120)]
+    texts += [edited(r, w, 0.03) for w in texts[:40]]
+    df = table(spark, tmp_path, "d", [(i, " ".join(w)) for i, w in enumerate(texts)])
+    made, real = Counter(), near_dedup.stored
+
+    def counted(rows, what):
+        out = real(rows, what)
+        made[what] += out.count() if what in ("candidates", "open") else 0
+        return out
+
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    near_dedup.classes(df).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs, rows = store.executionsList(), 0
+    for run in (runs.apply(i) for i in range(before, runs.size())):
+        nodes, values = store.planGraph(run.executionId()).allNodes(), store.executionMetrics(run.executionId())
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(r"Join \[sig#\w+\], \[sig#\w+\]", node.desc()):
+                metrics = node.metrics()
+                ids = [m.accumulatorId() for m in (metrics.apply(i) for i in range(metrics.size())) if m.name() == "number of output rows"]
+                rows += sum(int(values.apply(k).replace(",", "")) for k in ids if values.contains(k))
+    assert made["open"] > 1000
+    assert made["candidates"] + made["open"] <= rows <= made["candidates"] + made["open"] * (2 if block else 1)
